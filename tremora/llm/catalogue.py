@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tremora.llm import bpe, media, mixing, quality, topk, toxicity
+from tremora.llm import bpe, media, mixing, quality, substrings, topk, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,7 +42,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, keep_ids=False).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_exact_topk, op4_quality, op5_mixing, op6_media, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_exact_topk, op4_quality, op5_mixing, op6_media, op10_bpe)}
 
 
 def queries() -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tremora.llm import bpe, media, mixing, ngrams, quality, substrings, topk, toxicity
+from tremora.llm import bpe, media, mixing, neardup, ngrams, quality, substrings, topk, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -38,6 +38,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(table(spark, sf_dir, "documents")).drop("caption", "position")
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, keep_ids=False).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_exact_topk, op4_quality, op5_mixing, op6_media, op9_ngram_lm, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_exact_topk, op4_quality, op5_mixing, op6_media, op7_minhash_dedup, op9_ngram_lm, op10_bpe)}
 
 
 def queries() -> dict:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tremora.llm import bpe, media, mixing, neardup, ngrams, quality, substrings, topk, toxicity
+from tremora.llm import bpe, linededup, media, mixing, neardup, ngrams, quality, substrings, topk, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -42,6 +43,11 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score(table(spark, sf_dir, "documents"))
 
@@ -50,7 +56,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, keep_ids=False).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_exact_topk, op4_quality, op5_mixing, op6_media, op7_minhash_dedup, op9_ngram_lm, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_exact_topk, op4_quality, op5_mixing, op6_media, op7_minhash_dedup, op8_line_dedup, op9_ngram_lm, op10_bpe)}
 
 
 def queries() -> dict:

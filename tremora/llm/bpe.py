@@ -249,7 +249,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def encode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids (decimal, joined by commas; null unless keep_ids), ids_sha256, decoded_sha256.
+    """doc_id, n_tokens, ids (null unless keep_ids), ids_sha256 (of the decimal ids joined by commas), decoded_sha256.
 
     A narrow map: no shuffle, and a batch of texts at a time in memory. The vocabulary file must lie at ``path`` on
     every machine, as installed packages do.
@@ -261,9 +261,10 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
             for part in portions(batch, PORTION):
                 ids, at = vocab.encode(part.column("text").fill_null("").cast(pa.large_string()))
                 named, back = vocab.decimal(ids, at), vocab.decode(ids, at)
-                rows = [(n, x if keep_ids else None, sha(x.encode()).hexdigest(), sha(y.decode("utf-8", "replace").encode()).hexdigest()) for n, x, y in zip(np.diff(at).tolist(), named, back, strict=True)]
-                columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())) if keep_ids else pa.nulls(part.num_rows, pa.list_(pa.int32()))
+                coded = [sha(x.encode()).hexdigest() for x in named]
+                decoded = [sha(y.decode("utf-8", "replace").encode()).hexdigest() for y in back]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), lists, pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids string, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")

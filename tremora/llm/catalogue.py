@@ -40,7 +40,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(table(spark, sf_dir, "documents"))
+    return neardup.classes(table(spark, sf_dir, "documents")).drop("th")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremora.llm.common import WORD_PATTERN
+from tremora.llm.common import WORD_PATTERN, written
+
+#: Sources up to which their table goes to every executor.
+SMALL = 50_000
 
 
 def hex_number(text: Column) -> Column:
@@ -53,8 +56,9 @@ def targets(sources: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame
     return levels.withColumn("target", F.coalesce(F.least(F.col("most").cast("double"), F.col("weight") * at["level"]), F.col("most").cast("double"))).select("src", "size", "rows", "total", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block_tokens: int = 16, docs_per_shard: int = 50_000, seed: str = "mix-1") -> DataFrame:
-    """doc_id, size, source_size, target, taken, and source, shard and passes, of every document.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block_tokens: int = 16, docs_per_shard: int = 50_000, seed: str = "mix-1", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document; source, shard, passes; last (words taken in the last
+    pass) with place, part, start and blocks, which tell where they lie; and the columns in ``carry``.
 
     Each source is dealt into shards of about docs_per_shard rows, so that a hot source is no single task. Blocks of
     block_tokens words go to sources, and within a source to shards, by highest quotients. A shard is a stream of its
@@ -65,13 +69,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, blo
     src = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     sized = docs.select(
-        "doc_id", "source", src.alias("src"), F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
+        "doc_id", "source", *[F.col(c).alias(f"carried_{c}") for c in carry], src.alias("src"), F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(seed + "|"), name)).alias("place"), hex_number(F.concat(F.lit(seed + "#"), name)).alias("deal"),
     )
     sources = targets(sized.groupBy("src").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), weights, cap)
     sources = apportion(sources.withColumn("seats", F.round(F.col("total") / block_tokens).cast("long")), [], "src", "target", "seats")
     sources = sources.select("src", F.col("size").alias("source_size"), "target", F.col("got").alias("source_blocks"), F.ceil(F.col("rows") / docs_per_shard).cast("long").alias("shards"))
-    dealt = sized.join(sources, "src").withColumn("shard", F.pmod("deal", "shards"))
+    sources = written(sources, "sources")
+    few = sources.count() <= SMALL  # a row has less than 1 KB
+    dealt = sized.join(F.broadcast(sources) if few else sources, "src").withColumn("shard", F.pmod("deal", "shards"))
     stream = Window.partitionBy("src", "shard").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = dealt.withColumn("end", F.sum("size").over(stream))
     shards = dealt.groupBy("src", "shard").agg(F.sum("size").alias("length"), F.first("source_blocks").alias("source_blocks"))
@@ -91,6 +97,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, blo
         return taken(block) * block_tokens + (taken(block + 1) - taken(block)) * (words - block * block_tokens)
 
     last = F.when((F.col("part") > 0) & (F.col("size") > 0), before(F.col("end")) - before(F.col("end") - F.col("size"))).otherwise(0)
-    return placed.join(quotas, ["src", "shard"]).select(
-        "doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + last).cast("long").alias("taken"), "source", F.col("shard"), F.col("passes"),
+    joined = placed.join(quotas, ["src", "shard"]).withColumn("last", last.cast("long"))
+    return joined.select(
+        "doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("last")).cast("long").alias("taken"), "source", "shard", "passes",
+        "last", (F.col("end") - F.col("size")).alias("place"), "part", "start", "blocks", *[f"carried_{c}" for c in carry],
     )
+
+
+def apply(docs: DataFrame, block_tokens: int = 512, **options) -> DataFrame:
+    """The mix itself, with the columns of docs: each document as often as the mix takes it whole, and once more with
+    the words that lie in taken blocks where it takes a part. n_chars, if there, follows the text."""
+    mixed = mix(docs, block_tokens=block_tokens, carry=tuple(docs.columns), **options)
+    taken = lambda j: F.floor((j * F.col("part") + F.col("start")) / F.col("blocks"))
+    block = lambda i: F.floor((F.col("place") + i) / block_tokens)
+    words = F.filter(F.regexp_extract_all("carried_text", F.lit(WORD_PATTERN), F.lit(0)), lambda _, i: taken(block(i) + 1) > taken(block(i)))
+    rest = F.when(F.col("last") == F.col("size"), F.col("carried_text")).otherwise(F.array_join(words, " "))
+    copies = F.concat(F.array_repeat("carried_text", F.col("passes").cast("int")), F.when(F.col("last") > 0, F.array(rest)).otherwise(F.array().cast("array<string>")))
+    rows = mixed.filter("taken > 0").withColumn("mixed_text", F.explode(copies))
+    new = {"text": F.col("mixed_text"), "n_chars": F.length("mixed_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return rows.select(*[(new.get(c) if new.get(c) is not None else F.col(f"carried_{c}")).alias(c) for c in docs.columns])

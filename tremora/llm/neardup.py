@@ -107,7 +107,7 @@ def banded(signature: np.ndarray, bands: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """node, doc_id, k1, k2 (hash of the text) and bands (null for a text without words): a narrow map."""
+    """node, row, doc_id, th and k1, k2 (hashes of the text) and bands (null for a text without words): a narrow map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,9 +118,10 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 has = np.bincount(doc, minlength=len(texts)) > 0
                 key = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.as_py()) for x in texts), np.int64).reshape(-1, 2)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, h.size + 1, bands), pa.int32()), pa.array(h.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(has), lists], names=["doc_id", "k1", "k2", "has", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(has), lists], names=["doc_id", "th", "k1", "k2", "has", "bands"])
 
-    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, k1 long, k2 long, has boolean, bands array<long>")
+    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    rows_ = rows_.mapInArrow(run, "doc_id long, th long, k1 long, k2 long, has boolean, bands array<long>")
     # a row without an id gets one from its text, beyond all real ones
     return rows_.withColumn("row", F.monotonically_increasing_id()).withColumn("node", F.coalesce("doc_id", F.lit(2**62) + F.pmod("k1", F.lit(2**62))))
 
@@ -163,7 +164,8 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
-    """doc_id, class_id (its class's least doc_id), n_class and representative (1 for one row of each class).
+    """doc_id, class_id (its class's least doc_id), n_class, representative (1 for one row of each class) and th, a hash
+    of the text.
 
     Equal texts are one node. In each band's bucket every member is checked against one hub, which joins a group of any
     size by a number of pairs that follows its size. Buckets that still hold several components get other hubs, and
@@ -206,11 +208,11 @@ def classes(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 24
             linked = linked.unionByName(found)
             roots = components(linked)
     node_class = nodes.join(roots, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"), (F.coalesce("root", "rep") == F.col("rep")).alias("of_root"), "rep_row")
-    classed = rows_.select("doc_id", "node", "row", "k1", "k2", "has").join(node_class, ["k1", "k2"], "left").withColumn("root", F.coalesce("root", "node"))
+    classed = rows_.select("doc_id", "th", "node", "row", "k1", "k2", "has").join(node_class, ["k1", "k2"], "left").withColumn("root", F.coalesce("root", "node"))
     sizes = classed.filter("has").groupBy("root").agg(F.count("*").alias("n_class"))
     out = classed.join(sizes, "root", "left")
     class_id = F.when(~F.col("has"), F.col("doc_id")).when(F.col("root") < 2**62, F.col("root"))
-    return out.select("doc_id", class_id.alias("class_id"), F.when(F.col("has"), F.col("n_class")).otherwise(1).alias("n_class"), (~F.col("has") | (F.col("of_root") & (F.col("row") == F.col("rep_row")))).cast("int").alias("representative"))
+    return out.select("doc_id", class_id.alias("class_id"), F.when(F.col("has"), F.col("n_class")).otherwise(1).alias("n_class"), (~F.col("has") | (F.col("of_root") & (F.col("row") == F.col("rep_row")))).cast("int").alias("representative"), "th")
 
 
 def signed_text(docs: DataFrame) -> DataFrame:
@@ -224,3 +226,10 @@ def signed_text(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, k1 long, text string")
     return rows.select(F.coalesce("doc_id", F.lit(2**62) + F.pmod("k1", F.lit(2**62))).alias("node"), "text")
+
+
+def dedup(docs: DataFrame, **options) -> DataFrame:
+    """One row of each class, with all columns of docs."""
+    key = {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__th": F.xxhash64("text")}
+    kept = classes(docs, **options).filter("representative = 1").select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("th").alias("__th"))
+    return docs.withColumns(key).join(kept, ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).drop("__id", "__th")

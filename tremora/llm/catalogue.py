@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremora.llm import bpe, linededup, media, mixing, neardup, ngrams, quality, substrings, topk, toxicity
+from tremora.llm.oracles import ORACLES
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -64,4 +65,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -10,6 +10,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def normalize_ascii(text: Column) -> Column:
@@ -17,7 +18,7 @@ def normalize_ascii(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_text(text: pd.Series) -> pd.Series:
     """NFKC, then as normalize_ascii: for any text."""
     return text.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).split()) or None)
@@ -44,13 +45,13 @@ def content_id(payload: Column) -> Column:
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_DNS, "tremora")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stable_uuid(joined: pd.Series) -> pd.Series:
     """UUIDv5 of parts joined by NUL."""
     return joined.map(lambda x: None if x is None else str(uuid.uuid5(NAMESPACE, x)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stable_token(joined: pd.Series) -> pd.Series:
     """26 lower-case base32 digits of the SHA-256 of parts joined by NUL."""
     return joined.map(lambda x: None if x is None else base64.b32encode(hashlib.sha256(x.encode()).digest()).decode().lower()[:26])

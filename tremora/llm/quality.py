@@ -85,7 +85,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
     """Boosting of the logistic loss by second-order gain over histograms of quantile bins."""
     p = float(y.mean()) if len(y) else 0.5
     inner, leaves = 2**depth - 1, 2**depth
-    if not 0 < p < 1:
+    if not len(y) or not 0 < p < 1:
         p = min(max(p, 1e-3), 1 - 1e-3)
         return Forest(float(np.log(p / (1 - p))), np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, leaves)))
     base, n, f = float(np.log(p / (1 - p))), *x.shape
@@ -125,7 +125,7 @@ def train(features: DataFrame, labels: DataFrame, label: str = "quality", most:
     """Fits on at most ``most`` labelled rows outside the held-out fold, the first by a hash of their ids."""
     known = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     rows = features.filter(~held_out(F.col("doc_id"), folds)).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(most).collect()
-    x, y = np.array([r.x for r in rows], np.float64).reshape(len(rows), -1), np.array([r.y for r in rows], np.float64)
+    x, y = np.array([r.x for r in rows], np.float64).reshape(len(rows), len(STATISTICS)), np.array([r.y for r in rows], np.float64)
     return fit(x, y, **options)
 
 

@@ -30,7 +30,7 @@ from tremora.llm.common import chunk_count, pack, text_bytes, unpack, with_chunk
 from tremora.llm.substrings import table_of
 
 END, BEGIN = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x1B873593CC9E2D51)
-SALTS = 16
+SALTS = 8
 #: Steps of the quantised scale for each factor of ten; code 0 stands for a pair never seen.
 STEPS = 32
 PRINT = np.uint64(24)  # fingerprints are the upper 40 bits of a hash
@@ -51,79 +51,50 @@ def unpack40(data: bytes) -> np.ndarray:
 
 
 class EliasFano:
-    """A non-decreasing sequence of numbers: low bits packed side by side, high bits in unary. Value i is found from
-    the i-th one of the unary bits; a directory holds the place of every one of each 64th."""
-
-    STEP = 64
+    """A non-decreasing sequence of numbers: low bits side by side in whole bytes, high bits in unary. Where the ones
+    of the unary bits stand is expanded once on opening, so that value i takes two look-ups."""
 
     @staticmethod
     def build(values: np.ndarray, universe: int) -> bytes:
         n = len(values)
-        low = max(0, int(math.log2(universe / n))) if n and universe > n else 0
-        values = values.astype(np.uint64)
-        bits = ((values[:, None] >> np.arange(low, dtype=np.uint64)[None, :]) & np.uint64(1)).astype(np.uint8) if low <= 8 else None
-        if bits is not None:
-            lows = np.packbits(bits.ravel(), bitorder="little").tobytes()
-        else:
-            low -= low % 8  # whole bytes: quick to read, at most two more bits of the unary part a value
-            lows = (values & np.uint64((1 << low) - 1)).view(np.uint8).reshape(-1, 8)[:, : low // 8].tobytes()
-        ones = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
+        width = max(0, round((math.log2(universe / n) - 1) / 8)) if n and universe > n else 0
+        values = values.astype("<u8")
+        lows = values.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+        ones = (values >> np.uint64(8 * width)).astype(np.int64) + np.arange(n)
         unary = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         unary[ones] = 1
-        high = np.packbits(unary, bitorder="little").tobytes()
-        directory = ones[:: EliasFano.STEP].astype("<i8").tobytes()
-        return np.array([n, low, len(lows), len(high), len(directory)], "<i8").tobytes() + lows + high + directory
+        high = np.packbits(unary).tobytes()
+        return np.array([n, width, len(lows), len(high)], "<i8").tobytes() + lows + high
 
     def __init__(self, data: memoryview):
-        self.n, self.low, a, b, c = np.frombuffer(data[:40], "<i8").tolist()
-        self.size = 40 + a + b + c
-        self.lows, self.high = np.frombuffer(data[40 : 40 + a], np.uint8), np.frombuffer(data[40 + a : 40 + a + b], np.uint8)
-        self.directory = np.frombuffer(data[40 + a + b : self.size], "<i8")
+        self.n, self.width, a, b = np.frombuffer(data[:32], "<i8").tolist()
+        self.size = 32 + a + b
+        self.lows = np.frombuffer(data[32 : 32 + a], np.uint8).reshape(self.n, self.width)
+        ones = np.flatnonzero(np.unpackbits(np.frombuffer(data[32 + a : self.size], np.uint8)))
+        self.high = (ones - np.arange(self.n)).astype(np.uint64)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at the places i."""
-        i = np.asarray(i, np.int64)
-        place = self.directory[i // self.STEP].copy()
-        left = i % self.STEP
-        at, rest = place + 1, np.flatnonzero(left)
-        want = left.copy()
-        while len(rest):  # a byte at a time: skip as many ones as it holds
-            byte, bit = at[rest] >> 3, at[rest] & 7
-            window = self.high[byte] >> bit.astype(np.uint8)
-            ones = POPCOUNT[window]
-            here = ones >= want[rest]
-            hit = rest[here]
-            place[hit] = at[hit] + SELECT[window[here], want[hit] - 1]
-            rest, skipped, bit = rest[~here], ones[~here], bit[~here]
-            want[rest] -= skipped
-            at[rest] += 8 - bit
-        high = (place - i).astype(np.uint64) << np.uint64(self.low)
-        if not self.low:
-            return high
-        if self.low <= 8:
-            first = i * self.low
-            two = self.lows[first >> 3].astype(np.uint16) | (self.lows[np.minimum((first >> 3) + 1, len(self.lows) - 1)].astype(np.uint16) << 8)
-            return high | ((two >> (first & 7).astype(np.uint16)) & np.uint16((1 << self.low) - 1)).astype(np.uint64)
-        rows = self.lows.reshape(-1, self.low // 8)[i]
-        wide = np.zeros((len(i), 8), np.uint8)
-        wide[:, : rows.shape[1]] = rows
-        return high | wide.view("<u8").ravel()
+        low = np.zeros((len(i), 8), np.uint8)
+        low[:, : self.width] = self.lows[i]
+        return (self.high[i] << np.uint64(8 * self.width)) | low.view("<u8").ravel() if self.width else self.high[i].copy()
 
     def search(self, wanted: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """The first place in start..stop whose value is not below the wanted one: binary search, all at once."""
-        start, stop = start.astype(np.int64).copy(), stop.astype(np.int64).copy()
-        while (open_ := np.flatnonzero(start < stop)).size:
+        """The first place in start..stop whose value is not below the wanted one. The high parts, searched for all at
+        once, leave a few places, among which low bits decide."""
+        high = wanted >> np.uint64(8 * self.width)
+        start = np.maximum(start, np.searchsorted(self.high, high, "left"))
+        stop = np.maximum(start, np.minimum(stop, np.searchsorted(self.high, high, "right")))
+        open_ = np.flatnonzero(start < stop)
+        while open_.size:
             middle = (start[open_] + stop[open_]) >> 1
             below = self.get(middle) < wanted[open_]
             start[open_[below]] = middle[below] + 1
             stop[open_[~below]] = middle[~below]
+            open_ = open_[start[open_] < stop[open_]]
         return start
 
 
-POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.int64)
-SELECT = np.array([[[j for j in range(8) if i >> j & 1][k] if k < bin(i).count("1") else 0 for k in range(8)] for i in range(256)], np.int64)
-
-
 def build_trie(contexts: np.ndarray, runs: np.ndarray, successors: np.ndarray, counts: np.ndarray) -> bytes:
     """The levels of one shard: sorted contexts, monotone pointers to their successors, these relative to their
     context, and a code of one byte for each pair's count."""
@@ -280,7 +251,9 @@ def answer(rows: pa.Table, chunks: int) -> pa.Table:
             at += n
         return table_of([(c, 0, shard, known, total, found.get(c, b"")) for c in range(chunks)], ANSWERS)
     trie = Trie(build_trie(*merged_pairs(asked)))
-    return table_of([(x["chunk"], 1, shard, 0, 0, trie.find(unpack40(x["keys"]), unpack(x["runs"], "<u4"), unpack40(x["next"])).tobytes()) for x in asked], ANSWERS)
+    keys, runs, successors = np.concatenate([unpack40(x["keys"]) for x in asked]), np.concatenate([unpack(x["runs"], "<u4") for x in asked]), np.concatenate([unpack40(x["next"]) for x in asked])
+    codes = np.split(trie.find(keys, runs, successors), np.cumsum([len(x["next"]) // 5 for x in asked])[:-1])
+    return table_of([(x["chunk"], 1, shard, 0, 0, c.tobytes()) for x, c in zip(asked, codes, strict=True)], ANSWERS)
 
 
 def sizes(docs: DataFrame, chunk_bytes: int) -> int:

@@ -32,13 +32,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read back: it cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a path in whatever file system holds it."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes tables that written() made, in whatever file system holds them: those that no later plan reads."""
+    for df in frames:
+        context, path = df.sparkSession.sparkContext, getattr(df, "_written_path", None)
+        if path:
+            hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:

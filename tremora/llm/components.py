@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremora.llm.common import written
+from tremora.llm.common import release, written
 
 
 def stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now, state = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "stars"), None
     while True:
-        now = written(stars(stars(now, True), False), "stars")
+        before, now = now, written(stars(stars(now, True), False), "stars")
+        release(before)
         new = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if new == state or not new[0]:
             break

@@ -163,69 +163,13 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "v1", "c1", "v2", "c2").mapInArrow(run, "a long, b long")
 
 
-#: Cells of the sketch by which shingles are put in order, in blocks: a fixed size, whatever the input.
-CELLS, BLOCK = 1 << 24, 1 << 18
-
-
-def rarity(sets: DataFrame) -> np.ndarray:
-    """How many sets each cell's shingles come in, up to 255: partition sketches, merged block by block."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.uint8)
-        for batch in batches:
-            for v in batch.column("values"):
-                cells = np.unique(unpack(v.as_py(), "u8") % np.uint64(CELLS)).astype(np.int64)
-                total[cells] = np.minimum(total[cells], 254) + 1
-        blocks = total.reshape(-1, BLOCK)
-        some = np.flatnonzero(blocks.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary())], names=["block", "cells"])
-
-    def add(rows: pa.Table) -> pa.Table:
-        total = np.zeros(BLOCK, np.uint8)
-        for x in rows.column("cells"):
-            more = unpack(x.as_py(), "u1")
-            total = np.where(total > 255 - more, 255, total + more).astype(np.uint8)
-        return pa.table([rows.column("block").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["block", "cells"])
-
-    out = np.zeros(CELLS, np.uint8)
-    merged = sets.mapInArrow(count, "block int, cells binary").groupBy("block").applyInArrow(add, "block int, cells binary")
-    for r in merged.collect():  # CELLS bytes at most
-        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.cells, np.uint8)
-    return out
-
-
-def prefix_pairs(nodes: DataFrame, sets: DataFrame, least: float, done: list[DataFrame]) -> DataFrame:
-    """Pairs (a, b) of different root that may be similar, among nodes (node, root): all that are, and few others.
-
-    With shingles in one common order, two similar sets share one that lies in the prefix of both: as long as what
-    follows it, itself included, has ``least`` of the set's weight. Rare shingles come first, so a passage that many
-    texts share proposes no pair unless it is most of both. The order comes from a sketch; any order is exact. Shingles
-    that a sketch cell counts once have no partner and are not sent."""
-    held = written(sets.join(nodes.hint("merge"), "node"), "held")
-    counts = sets.sparkSession.sparkContext.broadcast(rarity(held))
-    done.append(held)
-
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = counts.value
-        for batch in batches:
-            out: list[tuple[np.ndarray, int, int]] = []
-            for node, root, v, c in zip(*[batch.column(x) for x in ("node", "root", "values", "counts")], strict=True):
-                values, weights = unpack(v.as_py(), "u8"), unpack(c.as_py(), "u4").astype(np.int64)
-                seen = rare[(values % np.uint64(CELLS)).astype(np.int64)]
-                order = np.lexsort((values, seen))
-                before = np.cumsum(weights[order]) - weights[order]
-                first = order[before <= (1 - least) * weights.sum() + 1e-9]
-                out.append((values[first[seen[first] > 1]], node.as_py(), root.as_py()))
-            sizes = [len(x[0]) for x in out]
-            shingle = np.concatenate([x[0] for x in out]).view(np.int64) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(np.repeat(np.array([x[1] for x in out], np.int64), sizes)), pa.array(np.repeat(np.array([x[2] for x in out], np.int64), sizes))], names=["shingle", "node", "root"])
-
-    sent = held.mapInArrow(prefix, "shingle long, node long, root long")
-    mixed = sent.groupBy("shingle", "root").agg(F.count("*").alias("m")).groupBy("shingle").agg(F.count("*").alias("roots"), F.max_by("root", "m").alias("largest")).filter("roots > 1")
-    sent = written(sent.join(mixed, "shingle"), "prefixes")
-    done.append(sent)
-    rest = sent.filter("root <> largest").select("shingle", F.col("node").alias("a"), F.col("root").alias("r1"))
-    return rest.join(sent.select("shingle", F.col("node").alias("b"), F.col("root").alias("r2")), "shingle").filter("r1 <> r2").select("a", "b")
+def finer_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Star edges (a, b) across roots among members (node, root) in finer buckets: two neighbouring bands at once. Texts
+    that meet there are much alike, so a straggler of a large group meets those that it is most similar to."""
+    keys = F.transform(F.sequence(F.lit(1), F.size("bands")), lambda i: F.xxhash64(F.get("bands", i - 1), F.get("bands", i % F.size("bands")), i))
+    each = members.join(nodes.select(F.col("rep").alias("node"), "bands"), "node").select("node", "root", F.explode(keys).alias("bucket"))
+    mixed = each.groupBy("bucket").agg(F.min("root").alias("lowest"), F.max("root").alias("highest"), F.min_by("node", F.xxhash64("node")).alias("hub"), F.min_by("root", F.xxhash64("node")).alias("hub_root")).filter("lowest <> highest")
+    return each.join(mixed, "bucket").filter("root <> hub_root").select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
 
 def classes(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
@@ -233,9 +177,9 @@ def classes(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 24
     of the text.
 
     Equal texts are one node. In each band's bucket every member is checked against one hub, which joins a group of any
-    size by a number of pairs that follows its size; buckets that still hold several components get a second hub. Only
-    pairs across components can then change a class: prefix_pairs() finds them among all members of such buckets. With
-    24 bands of 5 rows a pair of similarity 0.8 shares a bucket with probability 0.9999."""
+    size by a number of pairs that follows its size; buckets that still hold several components get a second hub, and
+    their members hubs of finer buckets. No step makes more than one pair for each membership. With 24 bands of 5 rows a
+    pair of similarity 0.8 shares a bucket with probability 0.9999."""
     rows_ = written(signed(docs, width, bands, rows), "signed")
     nodes = written(rows_.filter("has").groupBy("k1", "k2").agg(F.min(F.struct("node", "row")).alias("first"), F.first("bands").alias("bands")).select("k1", "k2", F.col("first.node").alias("rep"), F.col("first.row").alias("rep_row"), "bands"), "nodes")
     members = nodes.select("rep", F.posexplode("bands").alias("band", "bucket"))
@@ -250,13 +194,13 @@ def classes(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 24
     tested = members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     linked = written(verified(tested, sets, least), "links")
     roots, done = components(linked), [members, sets, linked]
-    for exact in (False, True):
+    for finer in (False, True):
         labelled = members.select("band", "bucket", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("band", "bucket", "rep", F.coalesce("root", "rep").alias("root"))
         mixed = labelled.groupBy("band", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("rep", F.xxhash64("rep")).alias("hub")).filter("low <> high")
         open_ = written(labelled.join(mixed, ["band", "bucket"]), "open")
         done.append(open_)
-        if exact:
-            pairs = prefix_pairs(open_.select(F.col("rep").alias("node"), "root").distinct(), sets, least, done)
+        if finer:
+            pairs = finer_pairs(open_.select(F.col("rep").alias("node"), "root").distinct(), nodes)
         else:
             hubs = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
             pairs = open_.join(hubs, "hub", "left").filter(F.col("root") != F.coalesce("hub_root", "hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b"))

@@ -27,7 +27,7 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Words of more bytes take the heap: a scan of the rank array would cost the square of their length.
 SHORT = 96
 #: Bytes of text in work at a time.
-PORTION = 16 << 20
+PORTION = 8 << 20
 NONE = 1 << 30
 EMPTY, SPREAD = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0x9E3779B97F4A7C15)
 

@@ -227,6 +227,28 @@ def test_neardup_equals_brute_force(spark, odd, none):
     assert neardup.classes(none).count() == 0
 
 
+def test_neardup_links_copies_edited_apart(spark):
+    r = np.random.default_rng(7)
+    words = [f"o{i}" for i in range(300)]
+    texts = [" ".join(words)]
+    for c in range(200):
+        w = list(words)
+        for place in r.choice(300, 5, replace=False):
+            w[place] = f"e{c}x{place}"
+        texts.append(" ".join(w))
+    rows = [(int(i), t, "s") for i, t in zip(r.permutation(len(texts)), texts, strict=True)]
+    got = {x.doc_id: x.class_id for x in neardup.classes(docs(spark, rows).repartition(4)).collect()}
+    want = h.near_classes([(i, t) for i, t, _ in rows], 5, 0.8)
+    assert len(set(want.values())) <= 3 and got == want
+
+
+def test_blocks_of_a_bucket_meet_once(spark):
+    open_ = spark.createDataFrame([(k, n, n, 30, 1, 1) for k in (1, 2) for n in range(30)], "bucket long, node long, root long, held long, hub long, hub_root long")
+    x, y = components.blocks(open_, 7)
+    met = [(p.bucket, *sorted((p.node, q.node))) for p in x.collect() for q in y.collect() if (p.bucket, p.i, p.j) == (q.bucket, q.i, q.j) and (p.i < p.j or p.node < q.node)]
+    assert sorted(met) == [(k, a, b) for k in (1, 2) for a in range(30) for b in range(a + 1, 30)]
+
+
 def test_signature_agreement_estimates_weighted_jaccard():
     doc, value = np.repeat([0, 1], 100), np.concatenate((np.arange(100), np.arange(20, 120))).astype(np.uint64)
     weight = np.concatenate((1 + np.arange(100) % 3, 1 + np.arange(100) % 4))

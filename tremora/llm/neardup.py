@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tremora.llm import tokens
 from tremora.llm.common import pack, release, unpack, written
-from tremora.llm.components import components
+from tremora.llm.components import blocks, resolved
 
 PORTION = 8 << 20
 STEP, TURN = 0xD6E8FEB86659FD93, np.uint64(0xA0761D6478BD642F)
@@ -163,57 +163,83 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "v1", "c1", "v2", "c2").mapInArrow(run, "a long, b long")
 
 
-def finer_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Star edges (a, b) across roots among members (node, root) in finer buckets: two neighbouring bands at once. Texts
-    that meet there are much alike, so a straggler of a large group meets those that it is most similar to."""
-    keys = F.transform(F.sequence(F.lit(1), F.size("bands")), lambda i: F.xxhash64(F.get("bands", i - 1), F.get("bands", i % F.size("bands")), i))
-    each = members.join(nodes.select(F.col("rep").alias("node"), "bands"), "node").select("node", "root", F.explode(keys).alias("bucket"))
-    mixed = each.groupBy("bucket").agg(F.min("root").alias("lowest"), F.max("root").alias("highest"), F.min_by("node", F.xxhash64("node")).alias("hub"), F.min_by("root", F.xxhash64("node")).alias("hub_root")).filter("lowest <> highest")
-    return each.join(mixed, "bucket").filter("root <> hub_root").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+def marked(docs: DataFrame) -> DataFrame:
+    """node and marks of each of the sets: 32 bits of the hash of each occurrence of a shingle, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = []
+            for v, c in zip(batch.column("values"), batch.column("counts"), strict=True):
+                values, counts = unpack(v.as_py(), "u8"), unpack(c.as_py(), "u4").astype(np.int64)
+                copy = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                marks.append(pack(np.sort((tokens.mix(np.repeat(values, counts) + copy.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32))))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(marks, pa.binary())], names=["node", "marks"])
+
+    return docs.select("node", "values", "counts").mapInArrow(run, "node long, marks binary")
+
+
+def near(first: pa.Table, second: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of all pairs across roots, one of either table, that may be as similar as ``least``. Two multisets share no
+    more occurrences than marks, so none that is gets lost."""
+    left, right = ({c: t.column(c).to_numpy() for c in ("node", "root", "i", "j")} for t in (first, second))
+    sets = [[unpack(x.as_py(), "u4") for x in t.column("marks")] for t in (first, second)]
+    sizes = np.array([len(x) for x in sets[1]])
+    names, codes = np.unique(np.concatenate(sets[1]), return_inverse=True)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(codes, kind="stable")
+    starts = np.searchsorted(codes[order], np.arange(len(names) + 1))
+    by_code = owner[order]
+    a, b = [], []
+    for k, marks in enumerate(sets[0]):
+        own, times = np.unique(marks, return_counts=True)
+        at = np.searchsorted(names, own)
+        hit = names[np.minimum(at, len(names) - 1)] == own
+        at, times = at[hit], times[hit]
+        counts = starts[at + 1] - starts[at]
+        entries = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - starts[at], counts)
+        common = np.bincount(by_code[entries], np.repeat(times, counts), len(sizes))
+        close = (common * (1 + least) >= least * (len(marks) + sizes) - 1e-6) & (right["root"] != left["root"][k])
+        if left["i"][k] == left["j"][k]:
+            close &= right["node"] > left["node"][k]
+        other = right["node"][close]
+        a.append(np.full(len(other), left["node"][k]))
+        b.append(other)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def crossing(open_: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different roots among all members of a bucket that may be links: two blocks of a bucket at a time
+    compare their marks, so a text is sent once for each two blocks and pairs that are no links never are rows."""
+
+    def run(first: pa.Table, second: pa.Table) -> pa.Table:
+        a, b = near(first, second.rename_columns(first.column_names), least) if len(first) and len(second) else (np.zeros(0, np.int64),) * 2
+        return pa.table([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    marks = written(marked(sets.join(open_.select("node").distinct().hint("merge"), "node", "left_semi")), "marks")
+    x, y = (t.join(marks.hint("merge"), "node").select("bucket", "i", "j", "node", "root", "marks") for t in blocks(open_))
+    y = y.withColumnsRenamed({c: f"{c}_" for c in y.columns})
+    return x.groupBy("bucket", "i", "j").cogroup(y.groupBy("bucket_", "i_", "j_")).applyInArrow(run, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
     """doc_id, class_id (its class's least doc_id), n_class, representative (1 for one row of each class) and th, a hash
     of the text.
 
-    Equal texts are one node. In each band's bucket every member is checked against one hub, which joins a group of any
-    size by a number of pairs that follows its size; buckets that still hold several components get a second hub, and
-    their members hubs of finer buckets. No step makes more than one pair for each membership. With 24 bands of 5 rows a
-    pair of similarity 0.8 shares a bucket with probability 0.9999."""
+    Equal texts are one node. Every pair of texts that share a bucket in some band is checked, or both are in one class
+    already; see resolved(). With 24 bands of 5 rows a pair of similarity 0.8 shares a bucket with probability 0.9999."""
     rows_ = written(signed(docs, width, bands, rows), "signed")
     nodes = written(rows_.filter("has").groupBy("k1", "k2").agg(F.min(F.struct("node", "row")).alias("first"), F.first("bands").alias("bands")).select("k1", "k2", F.col("first.node").alias("rep"), F.col("first.row").alias("rep_row"), "bands"), "nodes")
-    members = nodes.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    shared = members.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).filter("n > 1")
-    members = written(members.join(shared, ["band", "bucket"]), "buckets")
-    wanted = members.select(F.col("rep").alias("node")).distinct()
+    members = nodes.select(F.col("rep").alias("node"), F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    members = written(members.join(shared, "bucket"), "buckets")
+    wanted = members.select("node").distinct()
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     lost = rows_.filter("doc_id is null").limit(1).count()
     if lost:  # rows without an id: their node comes from the text, as in signed()
         named = signed_text(docs)
     sets = written(counted(named.join(wanted.hint("merge"), "node", "left_semi"), width).dropDuplicates(["node"]), "sets")
-    tested = members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    linked = written(verified(tested, sets, least), "links")
-    roots, done = components(linked), [members, sets, linked]
-    for finer in (False, True):
-        labelled = members.select("band", "bucket", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("band", "bucket", "rep", F.coalesce("root", "rep").alias("root"))
-        mixed = labelled.groupBy("band", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("rep", F.xxhash64("rep")).alias("hub")).filter("low <> high")
-        open_ = written(labelled.join(mixed, ["band", "bucket"]), "open")
-        done.append(open_)
-        if finer:
-            pairs = finer_pairs(open_.select(F.col("rep").alias("node"), "root").distinct(), nodes)
-        else:
-            hubs = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-            pairs = open_.join(hubs, "hub", "left").filter(F.col("root") != F.coalesce("hub_root", "hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        before = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        pairs = written(pairs.join(before, ["a", "b"], "left_anti"), "pairs")
-        found = written(verified(pairs, sets, least), "links")
-        done += [pairs, found]
-        tested = before.unionByName(pairs)
-        if not found.isEmpty():
-            linked = linked.unionByName(found)
-            roots = components(linked)
-    release(*done)
+    roots = resolved(members, lambda pairs: verified(pairs, sets, least), lambda open_: verified(written(crossing(open_, sets, least), "near"), sets, least))
+    release(members, sets)
     node_class = nodes.join(roots, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"), (F.coalesce("root", "rep") == F.col("rep")).alias("of_root"), "rep_row")
     classed = rows_.select("doc_id", "th", "node", "row", "k1", "k2", "has").join(node_class, ["k1", "k2"], "left").withColumn("root", F.coalesce("root", "node"))
     sizes = classed.filter("has").groupBy("root").agg(F.count("*").alias("n_class"))

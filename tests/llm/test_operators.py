@@ -281,6 +281,21 @@ def test_lines_equal_brute_force(spark, odd, none):
     assert linededup.dedup(none).count() == 0
 
 
+def test_lines_edited_apart_are_linked(spark):
+    r = np.random.default_rng(8)
+    words = [f"o{i:03}ab" for i in range(60)]
+    lines = [" ".join(words)]
+    for c in range(200):
+        w = list(words)
+        for place in r.choice(60, 3, replace=False):
+            w[place] = f"e{c:03}x{place:02}"
+        lines.append(" ".join(w))
+    rows = [(int(i), t, "s") for i, t in zip(r.permutation(len(lines)), lines, strict=True)]
+    got = sum(x.n_removed for x in linededup.dedup(docs(spark, rows)).collect())
+    want = sum(x[1] for x in h.line_dedup([(i, t) for i, t, _ in rows], 8, 0.8).values())
+    assert want >= 190 and 0.98 * want <= got <= want
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}

@@ -296,6 +296,20 @@ def test_lines_edited_apart_are_linked(spark):
     assert want >= 190 and 0.98 * want <= got <= want
 
 
+def test_short_and_single_token_lines_equal_brute_force(spark):
+    r = np.random.default_rng(9)
+    letters = np.array(list("bcdfghjklmnprstvwz"))
+    lines = []
+    for k in range(60):
+        word = lambda n: "".join(r.choice(letters, n))
+        line = word(60) if k % 3 == 0 else " ".join(word(7) for _ in range(4 + k % 5))
+        lines += [line, ("X" if k % 2 else "Y") + line[1:]]
+    rows = [(i, t, "s") for i, t in enumerate(lines)]
+    got = {x.doc_id: (x.n_lines, x.n_removed, x.text) for x in linededup.dedup(docs(spark, rows)).collect()}
+    want = h.line_dedup([(i, t) for i, t, _ in rows], 8, 0.8)
+    assert sum(x[1] for x in want.values()) == 60 and got == want
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}

@@ -115,7 +115,7 @@ def line_dedup(rows, width, least):
     return out
 
 
-def language_model(rows, mu, steps, folds=10):
+def language_model(rows, steps, discount, folds=10):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tokens = {i: [*re.findall(WORD, t.translate(lower)), None] for i, t in rows}
     single, double = Counter(), Counter()
@@ -126,13 +126,17 @@ def language_model(rows, mu, steps, folds=10):
     n, v = sum(single.values()), len(single)
     context = Counter(single)
     context["<start>"] = single[None]
+    stored, mass = {}, Counter()
+    for (a, w), c in double.items():
+        down = math.ceil(-steps * math.log10((c - discount) / context[a]) - 1e-9)
+        stored[a, w] = 10 ** (-down / steps) if down < 255 else 0.0
+        mass[a] += stored[a, w]
+    share = lambda w: (single[w] + 0.1) / (n + 0.1 * (v + 1))
+    model = lambda a, w: stored.get((a, w), 0.0) + (1 - mass[a]) * share(w)
+    for a in list(context)[:50]:
+        assert abs(sum(model(a, w) for w in [*single, "a word never seen"]) - 1) < 1e-9
     out = {}
     for i, t in tokens.items():
-        base = [(single[w] + 0.1) / (n + 0.1 * (v + 1)) for w in t]
-        model = 0.0
-        for a, w, p in zip(["<start>", *t[:-1]], t, base, strict=True):
-            c = double[a, w]
-            stored = 10 ** (round(steps * math.log10(c)) / steps) if c else 0.0
-            model += math.log10(min(1.0, (stored + mu * p) / (context[a] + mu)))
-        out[i] = (crc(i) % folds == 0, len(t), sum(single[w] > 0 for w in t), n, sum(map(math.log10, base)), model)
+        score = sum(math.log10(model(a, w)) for a, w in zip(["<start>", *t[:-1]], t, strict=True))
+        out[i] = (crc(i) % folds == 0, len(t), sum(single[w] > 0 for w in t), n, sum(math.log10(share(w)) for w in t), score)
     return out

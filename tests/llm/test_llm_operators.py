@@ -322,27 +322,44 @@ def test_components_of_a_long_path(spark):
 
 def test_scores_equal_brute_force(spark, odd, none):
     rows = [(i, " ".join(f"M{(i * j) % 17}" for j in range(i % 30)), "s") for i in range(120)]
-    got = {x.doc_id: x for x in ngrams.score(docs(spark, rows).repartition(4), chunk_bytes=1500).collect()}
-    for i, want in h.language_model([(i, t) for i, t, _ in rows], 20.0, ngrams.STEPS).items():
-        x = got[i]
-        assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == want[:4]
-        assert x.base_score == pytest.approx(want[4], abs=1e-9) and x.score == pytest.approx(want[5], abs=1e-9)
+    for sizes in ({"chunk_bytes": 1500, "shard_bytes": 400}, {}):
+        got = {x.doc_id: x for x in ngrams.score(docs(spark, rows).repartition(4), **sizes).collect()}
+        for i, want in h.language_model([(i, t) for i, t, _ in rows], ngrams.STEPS, ngrams.DISCOUNT).items():
+            x = got[i]
+            assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == want[:4]
+            assert x.base_score == pytest.approx(want[4], abs=1e-9) and x.score == pytest.approx(want[5], abs=1e-9)
     scored = ngrams.score(odd).collect()
     assert len(scored) == odd.count() and all(x.held_out for x in scored if x.doc_id is None) and all(np.isfinite(x.score) for x in scored)
     assert ngrams.score(none).count() == 0
     assert ngrams.score(odd.filter("doc_id is null")).first().train_tokens == 0
 
 
-def test_elias_fano_and_trie(spark, odd):
+def test_model_beats_single_words_on_held_out_texts(spark):
+    scored = ngrams.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    r = scored.filter("held_out").agg(F.sum("score").alias("model"), F.sum("base_score").alias("base")).first()
+    assert r.model > 0.9 * r.base and r.base < 0
+
+
+def test_elias_fano_and_trie(spark, odd, tmp_path):
     r = np.random.default_rng(1)
-    for n, u in ((0, 10), (1, 1 << 40), (700, 700), (3000, 20_000), (3000, 1 << 52)):
+    for n, u in ((0, 10), (1, 1 << 40), (1, 1 << 63), (700, 700), (3000, 20_000), (3000, 1 << 52), (3000, 1 << 63)):
         v = np.sort(r.integers(0, u, n).astype(np.uint64))
         e = ngrams.EliasFano(memoryview(ngrams.EliasFano.build(v, u)))
         if n:
-            asked = r.integers(0, u, 300).astype(np.uint64)
-            assert (e.get(np.arange(n)) == v).all() and (e.search(asked, np.zeros(300, np.int64), np.full(300, n)) == np.searchsorted(v, asked)).all()
-    trie = ngrams.Trie(ngrams.build_trie(np.array([3, 9], np.uint64), np.array([2, 1]), np.array([5, 8, 5], np.uint64), np.array([1, 10, 100])))
-    assert trie.find(np.array([1, 3, 9], np.uint64), np.array([1, 3, 2]), np.array([5, 5, 7, 8, 5, 8], np.uint64)).tolist() == [0, 1, 0, 33, 65, 0]
+            asked = np.concatenate((r.integers(0, u, 300).astype(np.uint64), v[r.integers(0, n, 300)]))
+            place = e.find(asked, np.zeros(600, np.int64), np.full(600, n))
+            assert (e.get(np.arange(n)) == v).all() and ((place >= 0) == np.isin(asked, v)).all() and (v[place[place >= 0]] == asked[place >= 0]).all()
+            assert (e.find(v, np.arange(n) + 1, np.full(n, n))[np.append(v[1:] != v[:-1], True)] == -1).all()
+    contexts, totals = np.array([3, 1 << 60], np.uint64), np.array([12, 100])
+    levels = ngrams.build_trie(contexts, totals, np.array([2, 1]), np.array([5, 8, 5], np.uint64), np.array([1, 10, 100]))
+    (tmp_path / "trie").write_bytes(levels)
+    for trie in (ngrams.Trie(levels), ngrams.Trie.open(str(tmp_path / "trie"))):
+        codes, mass = trie.find(np.array([1, 3, 1 << 60], np.uint64), np.array([1, 3, 2]), np.array([5, 5, 7, 8, 5, 8], np.uint64))
+        low, high, all_ = ngrams.codes_of(np.array([0.25 / 12, 9.25 / 12, 99.25 / 100])).tolist()
+        assert codes.tolist() == [0, low, 0, high, all_, 0]
+        assert mass.tolist() == pytest.approx([0, ngrams.VALUES[low] + ngrams.VALUES[high], ngrams.VALUES[all_]])
+    q = 10.0 ** -r.uniform(0, 12.5, 1000)
+    assert (ngrams.VALUES[ngrams.codes_of(q)] <= q * (1 + 1e-8)).all() and (ngrams.VALUES[ngrams.codes_of(q)] > q * 0.89).all()
     assert ngrams.model(odd).agg(F.sum("pairs")).first()[0] > 1000
 
 

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from tremora.llm.common import bounded_batches, lean
 from tremora.llm.tokens import portions
 
 #: Fixed value: the pattern by which public byte-level vocabularies split a text before the merges.
@@ -27,7 +28,7 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Words of more bytes take the heap: a scan of the rank array would cost the square of their length.
 SHORT = 96
 #: Bytes of text in work at a time.
-PORTION = 8 << 20
+PORTION = 2 << 20
 NONE = 1 << 30
 EMPTY, SPREAD = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0x9E3779B97F4A7C15)
 
@@ -266,5 +267,6 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
                 decoded = [sha(y.decode("utf-8", "replace").encode()).hexdigest() for y in back]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), lists, pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lean(run), "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")

@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremora.llm.common import written
-from tremora.llm.tokens import portions
+from tremora.llm.common import bounded_batches, lean
+from tremora.llm.tokens import portions, sequence_hashes
 
-PORTION = 8 << 20
+PORTION = 2 << 20
 STATISTICS = ("bytes", "words", "lines", "word_length", "line_words", "different_words", "different_lines", "repeated_fours", "upper", "digits", "punctuation", "stops", "symbols", "marks", "bars", "ends", "non_ascii", "controls", "compressed", "entropy", "longest_word", "short_lines")
 KINDS = np.zeros((9, 256))
 for row, members in enumerate((range(65, 91), range(48, 58), b"!\"'(),-.:;?", b".,", b"#$%&*+/<=>@\\^_`{}~", b"!?", b"|", b"\x7f", range(128, 256))):
@@ -28,6 +28,13 @@ for row, members in enumerate((range(65, 91), range(48, 58), b"!\"'(),-.:;?", b"
 KINDS[7, [*range(9), *range(14, 32)]] = 1
 
 
+def runs_of_four(words: list[bytes]) -> np.ndarray:
+    """A hash of each four adjacent words; the words' own places in a dictionary stand for them."""
+    place: dict[bytes, int] = {}
+    codes = np.array([place.setdefault(w, len(place)) for w in words], np.uint64)
+    return sequence_hashes(codes, 4)
+
+
 def statistics(text: str | None) -> list[float]:
     """STATISTICS of one whole text; all of them 0 where there is nothing to measure."""
     data = (text or "").encode()
@@ -39,25 +46,30 @@ def statistics(text: str | None) -> list[float]:
     w = max(len(words), 1)
     upper, digits, punctuation, stops, symbols, marks, bars, controls, wide = (KINDS @ counts / n).tolist()
     share = counts[counts > 0] / n
-    fours = list(zip(words, words[1:], words[2:], words[3:], strict=False))
+    fours = runs_of_four(words)
     ends = sum(x.rstrip()[-1:] in b".!?" for x in lines) / max(len(lines), 1)
     return [
         float(np.log1p(n)), float(np.log1p(len(words))), float(np.log1p(len(lines))), sum(map(len, words)) / w, len(words) / max(len(lines), 1), len(set(words)) / w,
-        len(set(lines)) / max(len(lines), 1), 1 - len(set(fours)) / max(len(fours), 1), upper, digits, punctuation, stops, symbols, marks, bars, ends, wide, controls,
+        len(set(lines)) / max(len(lines), 1), 1 - len(np.unique(fours)) / max(len(fours), 1), upper, digits, punctuation, stops, symbols, marks, bars, ends, wide, controls,
         len(zlib.compress(data, 1)) / n, float(-(share * np.log2(share)).sum()), float(max(map(len, words), default=0)), sum(len(x) < 30 for x in lines) / max(len(lines), 1),
     ]
 
 
+def measured(batch: pa.RecordBatch) -> np.ndarray:
+    """STATISTICS of each text of a batch, a row each."""
+    return np.array([statistics(t) for t in batch.column("text").to_pylist()], np.float64)
+
+
 def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and x, the statistics of each row: a narrow map."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portions(batch, PORTION):
-                x = [statistics(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(measured(part).tolist(), pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, x array<double>")
 
 
 class Forest(NamedTuple):
@@ -121,42 +133,44 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def train(features: DataFrame, labels: DataFrame, label: str = "quality", most: int = 20_000, folds: int = 5, **options) -> Forest:
-    """Fits on at most ``most`` labelled rows outside the held-out fold, the first by a hash of their ids."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 20_000, folds: int = 5, **options) -> Forest:
+    """Fits on at most ``most`` labelled rows outside the held-out fold, the first by a hash of their ids. They are
+    chosen by id alone, so that statistics are computed for these texts only."""
     known = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-    rows = features.filter(~held_out(F.col("doc_id"), folds)).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(most).collect()
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    chosen = named.filter(~held_out(F.col("doc_id"), folds)).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most).select("doc_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id", "left_semi")  # at most ``most`` ids
+    rows = document_statistics(texts).join(known.join(F.broadcast(chosen), "doc_id", "left_semi"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(most).collect()
     x, y = np.array([r.x for r in rows], np.float64).reshape(len(rows), len(STATISTICS)), np.array([r.y for r in rows], np.float64)
     return fit(x, y, **options)
 
 
-def score(features: DataFrame, forest: Forest) -> DataFrame:
-    """Adds ``score`` to features by vectorised traversal."""
+def score(docs: DataFrame, forest: Forest) -> DataFrame:
+    """doc_id and score of each row: statistics and a vectorised traversal in one narrow map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = np.array(batch.column("x").flatten(), np.float64).reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(forest.scores(x))], names=["doc_id", "score"])
+            for part in portions(batch, PORTION):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(forest.scores(measured(part)))], names=["doc_id", "score"])
 
-    return features.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, **options) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document. Statistics are computed once and kept as a table."""
-    features = written(document_statistics(docs), "quality")
-    scored = score(features, train(features, labels, folds=folds, **options))
+    """doc_id, held_out, score, predicted of every document."""
+    scored = score(docs, train(docs, labels, folds=folds, **options))
     return scored.select("doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, **options) -> DataFrame:
     """The rows of docs, all their columns, whose score reaches the threshold: trained as in classify(), then a narrow
     map in which no text is shuffled."""
-    forest = train(written(document_statistics(docs), "quality"), labels, folds=folds, **options)
+    forest = train(docs, labels, folds=folds, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portions(batch, PORTION):
-                x = np.array([statistics(t) for t in part.column("text").to_pylist()], np.float64)
-                yield part.filter(pa.array(forest.scores(x) >= threshold))
+                yield part.filter(pa.array(forest.scores(measured(part)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

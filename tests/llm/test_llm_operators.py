@@ -310,6 +310,28 @@ def test_short_and_single_token_lines_equal_brute_force(spark):
     assert sum(x[1] for x in want.values()) == 60 and got == want
 
 
+def test_similar_lines_share_a_bucket(spark):
+    """Recall of the signatures alone, on pairs of similarity 0.8 and more: short lines, long ones and single tokens."""
+    r = np.random.default_rng(10)
+    pairs = []
+    for k in range(3000):
+        n = int(r.integers(5, 14) if k % 2 else r.integers(14, 130))
+        words = ["".join(r.choice(list("abcdefghijklmnoprstuvwz"), int(r.integers(2, 11)))) for _ in range(n)]
+        other = list(words)
+        for at in r.integers(0, n, int(r.integers(1, 2 + n // 12))):
+            other[at] = f"e{r.integers(0, 999)}" if k % 2 == 0 else "X" + other[at][1:]
+        glue = "" if k % 8 == 7 else " "
+        a, b = glue.join(words), glue.join(other)
+        x, y = ({t[j : j + 8] for j in range(len(t) - 7)} for t in (a, b))
+        if x and y and a != b and len(x & y) >= 0.8 * len(x | y):
+            pairs.append((len(pairs), len(a) < 80, a, b))
+    df = spark.createDataFrame(pairs, "pair long, short boolean, a string, b string")
+    sides = [linededup.with_buckets(df.select("pair", "short", F.col(c).alias("line")), 8, 8, 3).select("pair", "short", F.col("buckets").alias(c)) for c in "ab"]
+    got = sides[0].join(sides[1], ["pair", "short"]).groupBy("short").agg(F.avg(F.arrays_overlap("a", "b").cast("int")).alias("recall"), F.count("*").alias("n")).collect()
+    assert len(got) == 2 and all(x.n > 200 for x in got), got
+    assert all(x.recall >= 0.99 for x in got), got
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import math
 import tempfile
 import uuid
@@ -50,6 +51,12 @@ def release(*frames: DataFrame) -> None:
             hadoop.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are over now, instead of when the driver next needs memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most ``rows`` rows, unless the session names a number: batches of whole texts take memory in
     the JVM and in the worker at once."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremora.llm.common import release, written
+from tremora.llm.common import release, sweep, written
 
 
 def stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -47,17 +47,15 @@ BLOCK = 500
 
 
 def starred(members: DataFrame, labels: DataFrame | None, used: DataFrame | None, turn: int) -> DataFrame:
-    """members of buckets with several roots, with their root and the bucket's hub: its member with most links among
-    those that were no hub of it before (used: bucket, node)."""
+    """members of buckets with several roots, with their root and the bucket's hub, its member with most links. Those
+    that were hubs of a bucket (used: bucket, node) were compared with all others there and are left out."""
+    if used is not None:
+        members = members.join(used, ["bucket", "node"], "left_anti")
     if labels is None:
         labelled = members.withColumns({"root": F.col("node"), "degree": F.lit(0).cast("long")})
     else:
         labelled = members.join(labels, "node", "left").withColumns({"root": F.coalesce("root", "node"), "degree": F.coalesce("degree", F.lit(0))})
-    key = F.shiftleft("degree", 24) + F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 24))
-    if used is not None:
-        labelled = labelled.join(used.withColumn("was", F.lit(True)), ["bucket", "node"], "left")
-        key = F.when(F.col("was"), F.lit(-1)).otherwise(key)
-    labelled = labelled.withColumn("key", key)
+    labelled = labelled.withColumn("key", F.shiftleft("degree", 24) + F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 24)))
     mixed = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held"), F.max_by("node", "key").alias("hub"), F.max_by("root", "key").alias("hub_root")).filter("low <> high")
     return labelled.select(*members.columns, "root").join(mixed.drop("low", "high"), "bucket")
 
@@ -90,6 +88,7 @@ def resolved(members: DataFrame, verify: Callable[[DataFrame], DataFrame], finis
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = written(pairs, "pairs")
+            sweep(members.sparkSession)
             done.append(pairs)
             tested = pairs if tested is None else tested.unionByName(pairs)
             hubs = open_.select("bucket", F.col("hub").alias("node")).distinct()

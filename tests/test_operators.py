@@ -32,8 +32,8 @@ def test_expectation_limit_is_continuous(spark):
 
 
 def test_text_functions(spark):
-    r = one(spark, textual.normalize_text(F.lit("  Ａ　b\t c ")).alias("a"), textual.normalize_text(F.lit(" ")).alias("b"), textual.canonical_decimal(F.lit("100.50").cast("decimal(10,2)")).alias("c"), textual.canonical_decimal(F.lit(-0.0)).alias("d"), textual.canonical_decimal(F.lit("2.5").cast("decimal(3,1)"), 0).alias("e"), textual.loose_name(F.lit("Red–River Fault")).alias("f"), textual.loose_name(F.lit("12")).alias("g"), textual.safe_path(F.lit("a/../b")).alias("h"), textual.safe_path(F.lit("a\\b")).alias("i"), textual.cell_id(12.5, F.lit(-2), F.lit(3)).alias("j"))
-    assert tuple(r) == ("A b c", None, "100.5", "0", "2", "redriver", None, None, "a/b", "g12500000_r-0000002_c+0000003")
+    r = one(spark, textual.normalize_text(F.lit("  Ａ　b\t c ")).alias("a"), textual.normalize_text(F.lit(" ")).alias("b"), textual.canonical_decimal(F.lit("100.50").cast("decimal(10,2)")).alias("c"), textual.canonical_decimal(F.lit(-0.0)).alias("d"), textual.canonical_decimal(F.lit("2.5").cast("decimal(3,1)"), 0).alias("e"), textual.loose_name(F.lit("Red–_River断裂带")).alias("f"), textual.loose_name(F.lit("-12.5")).alias("g"), textual.safe_path(F.lit("a/../b")).alias("h"), textual.safe_path(F.lit("a\\b")).alias("i"), textual.cell_id(12.5, F.lit(-2), F.lit(3)).alias("j"))
+    assert tuple(r) == ("A b c", None, "100.5", "0", "2", "Red-River断裂", None, None, "a/b", "g12500000_r-0000002_c+0000003")
     k = one(spark, textual.geometry_key(F.array(F.lit("1"), F.lit("2"))).alias("a"), textual.geometry_key(F.array(F.lit("2"), F.lit("1"))).alias("b"), textual.stable_token(textual.joined_parts(F.lit("x"), F.lit(1))).alias("c"))
     assert k.a == k.b and len(k.c) == 26
 
@@ -136,10 +136,42 @@ def test_etas_likelihood_of_the_micro_problem(spark):
     t = parents.filter("event_id = 'target'")
     got = etas.intensities(t, etas.pairs(t, parents, s), s, w, F.lit(1e-4)).first().intensity
     assert got == pytest.approx(2.356448153667534e-4, rel=5e-12)
-    cells = grid.cell_array(grid.cell_values(10.0, 30.0, 30.0))
+    cells = grid.cells(spark, 10.0, 30.0, 30.0)
     total = etas.cell_masses(parents, cells, s, w, 0.5, 2.0, 3600.0).agg(F.sum("mass")).first()[0]
     likelihood = etas.log_likelihood(t, parents, cells, s, w, 0.5, 2.0, 3600.0).first()
     assert likelihood.triggered + likelihood.background == pytest.approx(total, rel=1e-9)
+    alone = etas.cell_masses(parents.limit(0), cells, s, w, 0.5, 2.0, 3600.0).agg(F.sum("mass"), F.count("*")).first()
+    assert alone[0] == pytest.approx(1.5e-4) and alone[1] == 36
+
+
+def test_density_far_from_all_training_points(spark):
+    schema = "event_id int, x_km double, y_km double"
+    train, far = spark.createDataFrame([(1, 0.0, 0.0), (2, 30.0, 40.0)], schema), spark.createDataFrame([(9, 4000.0, 0.0), (10, 10.0, 0.0)], schema)
+    norms = spark.createDataFrame([(75.0, 1.0), (300.0, 1.0)], "h double, normaliser double")
+    got = {(r.event_id, r.h): r.log_density for r in poisson.kde_log_densities(far, train, norms, (75.0, 300.0), block_rows=1).collect()}
+    for (i, x), h in ((q, h) for q in ((9, 4000.0), (10, 10.0)) for h in (75.0, 300.0)):
+        e = [-(x**2) / (2 * h * h), -((x - 30) ** 2 + 1600) / (2 * h * h)]
+        want = max(e) + math.log(sum(math.exp(v - max(e)) for v in e) / 2 / (2 * math.pi * h * h))
+        assert got[i, h] == pytest.approx(want, rel=1e-12)
+    assert poisson.kde_log_densities(far, train.limit(0), norms, (75.0, 300.0)).count() == 0
+    masses = poisson.kde_cell_masses(train.limit(0), grid.cell_array(grid.cell_values(50.0, 100.0, 100.0)), (75.0,))
+    assert masses.count() == 16 and masses.filter("mass is not null").count() == 0
+
+
+def test_cap_counts_absorbed_events():
+    import pandas as pd
+
+    nothing = pd.DataFrame({c: [] for c in ("event_id", "origin_day", "x_km", "y_km", "magnitude")})
+    run = lambda cap: simulation.simulate_one(np.random.default_rng(1), nothing, etas.Spec(), etas.Parameters(mu=10.0), 0.0, 10.0, lambda x, y: "outside", lambda g: (0.0, 0.0), cap)
+    assert run(1000) == []
+    with pytest.raises(RuntimeError):
+        run(20)
+
+
+def test_repaired_places(spark):
+    mangled = "四川".encode("gb18030").decode("latin-1")
+    rows = spark.createDataFrame([(mangled,), ("plain",), ("云南",), ("é",), (None,)], "p string")
+    assert [r[0] for r in rows.select(textual.repair_place("p")).collect()] == ["四川", "plain", "云南", "é", None]
 
 
 def test_gates_and_selection(spark):

@@ -95,10 +95,3 @@ def candidate_magnitude(estimate: Column) -> Column:
 def magnitude_bin(m: Column) -> Column:
     """Bins of 0.1, halves up, as an exact decimal."""
     return F.round(m.cast("decimal(12,4)"), 1)
-
-
-def log_sum_exp(x: Column) -> Column:
-    """As an aggregate: shifted by the greatest term so that nothing overflows."""
-    terms = F.collect_list(x)
-    top = F.array_max(terms)
-    return top + F.log(F.aggregate(F.transform(terms, lambda v: F.exp(v - top)), F.lit(0.0), lambda a, b: a + b))

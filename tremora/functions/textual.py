@@ -61,19 +61,36 @@ def joined_parts(*parts: Column) -> Column:
     return F.concat_ws("\0", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
 
 
-def repair_place(place: Column) -> Column:
-    """Text that was GB18030 but was read as Latin-1, read anew; only where the result has Chinese characters. Needs
-    spark.sql.legacy.javaCharsets."""
-    narrow = place.rlike("^[\\x00-\\xFF]*$") & ~place.rlike("^[\\x00-\\x7F]*$")
-    again = F.decode(F.encode(place, "ISO-8859-1"), "GB18030")
-    return F.when(narrow & again.rlike(r"\p{IsHan}"), again).otherwise(place)
+@F.pandas_udf(StringType())
+def repair_place(place: pd.Series) -> pd.Series:
+    """Text that was GB18030 but was read as Latin-1, read anew; only where the result has Chinese characters. Spark's
+    own decode knows that charset under a legacy setting only, so this is an Arrow function."""
+    han = lambda x: any("\u4e00" <= c <= "\u9fff" for c in x)
+
+    def again(x: str | None) -> str | None:
+        if x is None or x.isascii() or han(x) or max(x) > "\xff":
+            return x
+        try:
+            new = x.encode("latin-1").decode("gb18030")
+        except UnicodeDecodeError:
+            return x
+        return new if han(new) else x
+
+    return place.map(again)
+
+
+#: Signs that count as a dash, and class words with the one that stands for them.
+DASHES = "[\u2010\u2011\u2012\u2013\u2014\u2015\uff0d_]+"
+CLASS_WORDS = {"断裂带": "断裂", "断层": "断裂"}
 
 
 def loose_name(name: Column) -> Column:
-    """A name without dashes, spaces and a closing class word, lower case; null for a bare number."""
-    plain = F.lower(F.regexp_replace(F.regexp_replace(name, "[‐-―−－_]", "-"), r"[\s\-]+", ""))
-    bare = F.regexp_replace(plain, r"(faults?|zone|segment|断裂带?|断层)$", "")
-    return F.when(bare.rlike(r"^\d*$"), F.lit(None)).otherwise(bare)
+    """A normalised name with runs of dashes and underlines as '-' and one word for each class; null for a blank name
+    and for a number, with or without sign and decimals."""
+    plain = F.regexp_replace(name, DASHES, "-")
+    for word, one in CLASS_WORDS.items():
+        plain = F.replace(plain, F.lit(word), F.lit(one))
+    return F.when((name == "") | name.rlike(r"^[+-]?\d+(\.\d+)?$"), F.lit(None)).otherwise(plain)
 
 
 def geometry_key(points: Column) -> Column:

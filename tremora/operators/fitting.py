@@ -6,7 +6,7 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremora.functions import kernels
@@ -33,18 +33,19 @@ class Prepared(NamedTuple):
     area: float
 
 
-def prepare(targets: DataFrame, parents: DataFrame, cells: Column, s: Spec, start: float, end: float, area: float, most: int = 5_000_000) -> Prepared:
+def prepare(targets: DataFrame, parents: DataFrame, cells: DataFrame, s: Spec, start: float, end: float, area: float, most: int = 5_000_000) -> Prepared:
     """Builds the pair table and the parents' masses with Spark, once for a fit; only the finished arrays, whose size
     is checked, come to the driver, where the optimizer runs."""
     near = pairs(targets, parents, s)
-    rows = near.select(F.dense_rank().over(Window.orderBy("t_event_id")).alias("target"), "dt", F.col("p_magnitude").alias("m"), kernels.spatial_density(F.col("r"), F.col("p_magnitude"), s.d, s.q, s.gamma, s.mc, s.cutoff).alias("density"))
+    rows = near.select(F.col("t_event_id").alias("target"), "dt", F.col("p_magnitude").alias("m"), kernels.spatial_density(F.col("r"), F.col("p_magnitude"), s.d, s.q, s.gamma, s.mc, s.cutoff).alias("density"))
     if near.limit(most + 1).count() > most:
         raise ValueError("more pairs than the driver may hold; fit on a shorter interval")
     table = rows.toPandas()
     active = acting(parents, start, end, s, Parameters())
     held = active.join(parent_masses(active, cells, s), "event_id").select("magnitude", "lower", "upper", "spatial_mass").toPandas()
     a = lambda x: x.to_numpy(np.float64)
-    return Prepared(targets.count(), table["target"].to_numpy(np.int64) - 1, a(table["dt"]), a(table["m"]), a(table["density"]), a(held["magnitude"]), a(held["lower"]), a(held["upper"]), a(held["spatial_mass"]), end - start, area)
+    target = np.unique(table["target"].to_numpy(), return_inverse=True)[1].astype(np.int64)
+    return Prepared(targets.count(), target, a(table["dt"]), a(table["m"]), a(table["density"]), a(held["magnitude"]), a(held["lower"]), a(held["upper"]), a(held["spatial_mass"]), end - start, area)
 
 
 def branching(k: float, alpha: float, beta: float, span: float) -> float:

@@ -52,11 +52,39 @@ def coarser(fine: DataFrame, value: str, ratio: int = 2) -> DataFrame:
     return fine.select(parent("row"), parent("column"), value).groupBy("row", "column").agg(F.sum(value).alias(value))
 
 
+def filled(coarse_cells: DataFrame, fine: DataFrame, value: str, ratio: int = 2) -> DataFrame:
+    """A fine value summed to every cell of the coarse grid, 0 where it has none; ``orphan`` marks sums whose parent the
+    coarse grid lacks: there must be none."""
+    sums = coarser(fine, value, ratio)
+    both = coarse_cells.select("row", "column", F.lit(True).alias("there")).join(sums, ["row", "column"], "full")
+    return both.select("row", "column", F.coalesce(value, F.lit(0.0)).alias(value), F.col("there").isNull().alias("orphan"))
+
+
 def convergence(coarse: DataFrame, fine: DataFrame, value: str, total_limit: float = 0.02, l1_limit: float = 0.05) -> DataFrame:
-    """relative_total, density_l1 and passed: a coarse field against its finer one, summed to the same parents."""
+    """relative_total, density_l1 and passed: a coarse field against its finer one, summed to the same parents. Two
+    passes: the totals (one row), then the sum of differences."""
     both = coarse.select("row", "column", F.col(value).alias("c")).join(coarser(fine, value).withColumnRenamed(value, "f"), ["row", "column"], "full")
     both = both.select(F.coalesce("c", F.lit(0.0)).alias("c"), F.coalesce("f", F.lit(0.0)).alias("f"))
-    totals = both.agg(F.sum("c").alias("tc"), F.sum("f").alias("tf"), F.collect_list(F.struct("c", "f")).alias("cells"))
-    l1 = F.aggregate("cells", F.lit(0.0), lambda s, x: s + F.abs(x["c"] / F.col("tc") - x["f"] / F.col("tf")))
-    out = totals.select((F.abs(F.col("tc") - F.col("tf")) / F.greatest(F.abs("tf"), F.lit(1e-12))).alias("relative_total"), l1.alias("density_l1"))
+    totals = both.agg(F.sum("c").alias("tc"), F.sum("f").alias("tf"))
+    out = both.crossJoin(F.broadcast(totals)).agg(F.first("tc").alias("tc"), F.first("tf").alias("tf"), F.sum(F.abs(F.col("c") / F.col("tc") - F.col("f") / F.col("tf"))).alias("density_l1"))
+    out = out.select((F.abs(F.col("tc") - F.col("tf")) / F.greatest(F.abs("tf"), F.lit(1e-12))).alias("relative_total"), "density_l1")
     return out.withColumn("passed", (F.col("relative_total") <= total_limit) & (F.col("density_l1") <= l1_limit))
+
+
+def three_grids(fields: dict[float, DataFrame], value: str) -> DataFrame:
+    """The comparisons of each grid with the next finer one: coarse_km, fine_km and what convergence gives. All must
+    pass."""
+    sizes = sorted(fields, reverse=True)
+    rows = None
+    for a, b in zip(sizes, sizes[1:], strict=False):
+        one = convergence(fields[a], fields[b], value).select(F.lit(a).alias("coarse_km"), F.lit(b).alias("fine_km"), "relative_total", "density_l1", "passed")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def to_cells(points: DataFrame, cells: DataFrame, size: float) -> DataFrame:
+    """Points with the row, column and cell_id of the grid's own cell; ``missing`` marks those that the grid has no cell
+    for: an error, unless points may lie outside."""
+    placed = assigned(points, size)
+    known = cells.select("row", "column", F.lit(False).alias("missing"))
+    return placed.join(known, ["row", "column"], "left").withColumn("missing", F.coalesce("missing", F.lit(True)))

@@ -38,6 +38,35 @@ def radius_join(targets: DataFrame, parents: DataFrame, radius: float, lag: floa
     return pairs.filter("p_available_day <= t_origin_day") if visible else pairs
 
 
+def near_cells(points: DataFrame, cells: DataFrame, radius: float) -> DataFrame:
+    """Points with each cell (c_) whose centre is within radius km, and r: both sides meet on equal squares of that
+    size, so the work follows the pairs that count and not points times cells."""
+    square = lambda c: F.floor(F.col(c) / radius)
+    c = with_prefix(cells.select("row", "column", "area_km2", "x_km", "y_km"), "c_")
+    around = F.array(*[F.struct((square("c_x_km") + i).alias("bx"), (square("c_y_km") + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    c = c.withColumn("key", F.explode(around)).select("*", "key.*").drop("key")
+    r = F.sqrt((F.col("x_km") - F.col("c_x_km")) ** 2 + (F.col("y_km") - F.col("c_y_km")) ** 2)
+    met = points.withColumns({"bx": square("x_km"), "by": square("y_km")}).join(c, ["bx", "by"]).withColumn("r", r)
+    return met.filter(F.col("r") <= radius).drop("bx", "by")
+
+
+def band_place_join(left: DataFrame, right: DataFrame, days: float, km: float, dm: float, residual: Column) -> DataFrame:
+    """As band_join on origin_day, but both sides also meet on equal squares of ``km`` and steps of ``dm`` in
+    magnitude: a swarm within one time bucket is many keys."""
+    def keys(p: str, around: bool) -> list[Column]:
+        step = lambda c, w: F.floor(F.round(F.col(p + c) / w, 9)).cast("long")
+        own = [step("origin_day", days), step("x_km", km), step("y_km", km), step("magnitude", dm)]
+        return [F.explode(F.array(*[c + i for i in (-1, 0, 1)])) if around else c for c in own]
+
+    names = ["kt", "kx", "ky", "km"]
+    l, r = with_prefix(left, "l_"), with_prefix(right, "r_")  # noqa: E741
+    for name, key in zip(names, keys("l_", False), strict=True):
+        l = l.withColumn(name, key)  # noqa: E741
+    for name, key in zip(names, keys("r_", True), strict=True):
+        r = r.withColumn(name, key)
+    return l.join(r, names).filter((F.abs(F.col("l_origin_day") - F.col("r_origin_day")) <= days) & residual).drop(*names)
+
+
 def mutual_degree_one(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """The pairs whose both ends have no other pair."""
     degree = lambda c: F.count("*").over(Window.partitionBy(c))

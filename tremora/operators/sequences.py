@@ -21,11 +21,12 @@ def revisions(df: DataFrame, entity: str, order: list[str], value: str) -> DataF
 
 
 def missing_numbers(df: DataFrame, entity: str, number: str) -> DataFrame:
-    """Numbers between the least and the greatest of each entity that it lacks, with the nearest that it has."""
-    spans = df.groupBy(entity).agg(F.array_sort(F.collect_set(number)).alias("there"))
-    wanted = spans.select(entity, "there", F.explode(F.array_except(F.sequence(F.array_min("there"), F.array_max("there")), "there")).alias(number))
-    nearest = F.array_min(F.transform("there", lambda x: F.struct(F.abs(x - F.col(number)).alias("gap"), x.alias("near"))))
-    return wanted.select(entity, number, nearest["near"].alias("nearest"))
+    """Numbers between the least and the greatest of each entity that it lacks, with the nearest that it has, the
+    smaller of two. A gap lies between a number and the next: no entity's numbers are ever one array."""
+    w = Window.partitionBy(entity).orderBy(number)
+    gaps = df.select(entity, number).distinct().withColumn("next", F.lead(number).over(w)).filter(F.col("next") > F.col(number) + 1)
+    rows = gaps.select(entity, F.col(number).alias("before"), "next", F.explode(F.sequence(F.col(number) + 1, F.col("next") - 1)).alias(number))
+    return rows.select(entity, number, F.when(F.col(number) - F.col("before") <= F.col("next") - F.col(number), F.col("before")).otherwise(F.col("next")).alias("nearest"))
 
 
 def greedy_exposures(days: Column, gap: float) -> Column:

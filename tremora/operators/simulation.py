@@ -54,11 +54,16 @@ def omori_mass(lower: float, upper: float, c: float, p: float) -> float:
 
 def simulate_one(g: np.random.Generator, history: pd.DataFrame, s: Spec, w: Parameters, start: float, days: float, domain, immigrant, most_events: int) -> list[tuple]:
     """One future: immigrants first, then all descendants in order of time, generation, parent and child number.
-    Events beyond the buffer are absorbed; those in it have offspring and are no output. Raises at the cap."""
+    Events beyond the buffer are absorbed: they have no offspring and are no output, but count to the cap like all that
+    are made. Raises at the cap."""
     out, count = [], 0
     queue: list[tuple] = []
 
     def push(name, parent, generation, child, t, x, y):
+        nonlocal count
+        count += 1
+        if count > most_events:
+            raise RuntimeError("the simulation reached its cap of events")
         m = gr_magnitude(g, s.mc, s.most, s.beta)
         where = domain(x, y)
         if where != "outside":
@@ -75,9 +80,6 @@ def simulate_one(g: np.random.Generator, history: pd.DataFrame, s: Spec, w: Para
                 push(f"{name}/{j}", str(name), 1, j, t0 + omori_time(g, lower, upper, w.c, w.p), x0 + dx, y0 + dy)
     while queue:
         t, generation, parent, child, name, x, y, m, where = heapq.heappop(queue)
-        count += 1
-        if count > most_events:
-            raise RuntimeError("the simulation reached its cap of events")
         out.append((name, parent, generation, t, x, y, m, where == "study"))
         upper = min(s.lag, start + days - t)
         for j in range(g.poisson(w.k * np.exp(w.alpha * (m - s.mc)) * omori_mass(0.0, upper, w.c, w.p)) if upper > 0 else 0):

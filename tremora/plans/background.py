@@ -80,7 +80,7 @@ def run(catalog: DataFrame, study: Study) -> Outcome:
     spec = etas.Spec.from_b(out.b, mc=out.mc, lag=study.fit_end - study.start)
     parents = catalog.filter(F.col("inside_external_buffer") & (F.col("magnitude") >= out.mc) & (F.col("origin_day") <= study.fit_end))
     targets = filters.targets(catalog, out.mc, study.start, study.fit_end)
-    cells = grid.cell_array(grid.cell_values(study.cell_km, study.half_x, study.half_y))
+    cells = grid.cells(catalog.sparkSession, study.cell_km, study.half_x, study.half_y)
     try:
         out.etas = fitting.fit(fitting.prepare(targets, parents, cells, spec, study.start, study.fit_end, study.area), spec)
         out.attempts["etas"] = "ok" if out.etas.stable else "failed_" + out.etas.reason

@@ -16,10 +16,15 @@ QUERIES: dict = {}
 CUT = FIRST_DAY + 20
 #: The scalar fixture's parameters.
 MICRO = {"mc": 3.0, "k": 0.2, "alpha": 1.0, "c": 0.05, "p": 1.2, "d": 25.0, "q": 1.5, "gamma": 1.0, "cutoff": 300.0}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 SPEC, PARAMETERS = etas.Spec(mc=4.5, lag=5.0), etas.Parameters(mu=20.0)
 CELLS = grid.cell_values(100.0, STUDY_X, STUDY_Y)
 
 
+def study_cells(spark: SparkSession) -> DataFrame:
+    return grid.cells(spark, 100.0, STUDY_X, STUDY_Y)
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -103,10 +108,10 @@ def null_audit(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def inventory(spark: SparkSession, d: str) -> DataFrame:
-    """Path, bytes and digest of the small tables' files."""
+    """Path, bytes and digest of every table's files."""
     from tremora.sources import files
 
-    return files.inventory(spark, {"nation": f"{d}/nation.parquet", "region": f"{d}/region.parquet"}).select("source_id", "name", "bytes", "sha256")
+    return files.inventory(spark, {n: f"{d}/{n}.parquet" for n in TABLES}).select("source_id", "name", "bytes", "sha256")
 
 
 # --- completeness --------------------------------------------------------------------------------------------------
@@ -201,6 +206,11 @@ def dedup_classified(spark: SparkSession, d: str) -> DataFrame:
     return dedup.classified(candidate_pairs(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query
+def dedup_status(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.event_status(sides(spark, d)[0], candidate_pairs(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
+
+
 @query
 def dedup_events(spark: SparkSession, d: str) -> DataFrame:
     return dedup.events(*sides(spark, d), candidate_pairs(spark, d)).select("event_id", "magnitude", F.array_join("sources", "+").alias("sources"))
@@ -233,8 +243,10 @@ def key_join_strict(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def key_set_difference(spark: SparkSession, d: str) -> DataFrame:
-    c, o = table(spark, d, "customer").select(F.col("c_custkey").alias("key")), table(spark, d, "orders").select(F.col("o_custkey").alias("key"))
-    return joins.key_difference(c, o, ["key"]).select("key", "side")
+    """Finished orders against orders of which a line came back."""
+    done = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("key"))
+    back = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("key"))
+    return joins.key_difference(done, back, ["key"]).select("key", "side")
 
 
 @query
@@ -247,26 +259,26 @@ def crosswalk_two_tier(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def parent_windows(spark: SparkSession, d: str) -> DataFrame:
-    out = joins.overlap_window(catalog(spark, d).filter("magnitude >= 5"), FIRST_DAY + 10, FIRST_DAY + 20, 5.0)
+    out = joins.overlap_window(catalog(spark, d), FIRST_DAY + 10, FIRST_DAY + 20, 5.0)
     return out.select("event_id", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"))
 
 
 @query
 def missing_periods(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").filter("value > 100").select("user_id", F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("period"))
+    e = table(spark, d, "events").select("user_id", F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("period"))
     return sequences.missing_numbers(e, "user_id", "period").select("user_id", "period", "nearest")
 
 
 @query
 def greedy_exposures(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").filter("user_id < 20").select("user_id", F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("double").alias("day"))
+    e = table(spark, d, "events").select("user_id", F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("double").alias("day"))
     days = e.groupBy("user_id").agg(F.array_sort(F.collect_set("day")).alias("days"))
     return days.select("user_id", F.explode(sequences.greedy_exposures(F.col("days"), 4.0)).alias("day")).select("user_id", F.col("day").cast("int").alias("day"))
 
 
 @query
 def segment_numbers(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "events").filter("user_id < 10").select("user_id", "event_id", F.when(F.col("event_type") == "error", "> new").otherwise("1 2").alias("line"))
+    lines = table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_type") == "error", "> new").otherwise("1 2").alias("line"))
     return sequences.segment_ids(lines, "event_id", "line", ["user_id"]).filter("line not like '>%'").groupBy("user_id", "segment").agg(F.count("*").alias("points"))
 
 
@@ -304,13 +316,26 @@ def fine_to_coarse(spark: SparkSession, d: str) -> DataFrame:
     return grid.coarser(cell_rates(spark, d, 50.0), "value")
 
 
+@query
+def grid_filled(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of 50 km cells on every 100 km cell of the study area, zeros too."""
+    return grid.filled(study_cells(spark), cell_rates(spark, d, 50.0), "value").select("row", "column", "value", "orphan")
+
+
+@query
+def cell_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """All events by cell of the study grid, and those that no cell holds."""
+    return grid.to_cells(catalog(spark, d), grid.cells(spark, 50.0, STUDY_X, STUDY_Y), 50.0).groupBy("missing").agg(F.count("*").alias("n"), F.count_distinct("row", "column").alias("cells"))
+
+
 @query
 def grid_convergence(spark: SparkSession, d: str) -> DataFrame:
-    """A smooth density at centres of 100 km cells against the same at 50 km."""
+    """A smooth density at centres of 50, 25 and 12.5 km cells, each grid against the next finer one."""
     def field(size):
         return grid.cells(spark, size, STUDY_X, STUDY_Y).select("row", "column", (F.exp(-(F.col("x_km") ** 2 + F.col("y_km") ** 2) / 80000.0) * F.col("area_km2")).alias("value"))
 
-    return grid.convergence(field(100.0), field(50.0), "value").select(F.round("relative_total", 9).alias("relative_total"), F.round("density_l1", 9).alias("density_l1"), "passed")
+    out = grid.three_grids({size: field(size) for size in (50.0, 25.0, 12.5)}, "value")
+    return out.select("coarse_km", "fine_km", F.round("relative_total", 9).alias("relative_total"), F.round("density_l1", 9).alias("density_l1"), "passed")
 
 
 # --- Poisson and kernel density ------------------------------------------------------------------------------------
@@ -347,6 +372,24 @@ def kde_event_log_density(spark: SparkSession, d: str) -> DataFrame:
     return kde_scores(spark, d).select("event_id", "h", F.round("log_density", 8).alias("log_density"))
 
 
+@query
+def kde_far_density(spark: SparkSession, d: str) -> DataFrame:
+    """Queries 4,000 km away, where a plain sum of kernels is zero."""
+    c, training = catalog(spark, d), kde_training(spark, d)
+    queries = c.filter("inside_study_area and magnitude >= 5.5").filter(F.col("origin_day") > CUT).withColumn("x_km", F.col("x_km") + 4000)
+    out = poisson.kde_log_densities(queries, training, normalisers(poisson.kde_cell_masses(training, grid.cell_array(CELLS))))
+    return out.select("event_id", "h", F.round("log_density", 6).alias("log_density"))
+
+
+@query
+def exposure_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of six exposures of three days, of which the last lie beyond the catalogue and have no event."""
+    fold = F.floor((F.col("origin_day") - CUT) / 3.0).cast("int")
+    logs = kde_scores(spark, d).filter("h = 150").join(catalog(spark, d).select("event_id", fold.alias("fold")), "event_id")
+    plan = spark.range(6).select(F.col("id").cast("int").alias("fold"), F.lit(5.0).alias("rate"), F.lit(3.0).alias("days"), F.lit(1.0).alias("mass"))
+    return poisson.scores(logs, plan, ["fold"]).select("fold", "n", F.round("log_likelihood", 6).alias("log_likelihood"))
+
+
 def kde_fold_scores(spark: SparkSession, d: str) -> DataFrame:
     fold = F.floor((F.col("origin_day") - CUT) / 3.0).cast("int")
     places = catalog(spark, d).select("event_id", fold.alias("fold")).filter("fold between 0 and 3")
@@ -375,14 +418,14 @@ def etas_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query
 def omori_weights(spark: SparkSession, d: str) -> DataFrame:
     age = F.lit(FIRST_DAY + 31) - F.col("origin_day")
-    return catalog(spark, d).filter("magnitude >= 5.5").select("event_id", F.round(kernels.omori_density(age, 0.05, 1.2), 9).alias("density"), F.round(kernels.omori_cdf(age, 0.05, 1.2), 9).alias("mass"))
+    return catalog(spark, d).select("event_id", F.round(kernels.omori_density(age, 0.05, 1.2), 9).alias("density"), F.round(kernels.omori_cdf(age, 0.05, 1.2), 9).alias("mass"))
 
 
 @query
 def inverse_power_density(spark: SparkSession, d: str) -> DataFrame:
     r, m = F.sqrt(F.col("x_km") ** 2 + F.col("y_km") ** 2), F.col("magnitude")
     args = (25.0, 1.5, 1.0, 3.0, 300.0)
-    return catalog(spark, d).filter("magnitude >= 5.5").select("event_id", F.round(kernels.spatial_density(r, m, *args), 12).alias("density"), F.round(kernels.spatial_mass(r, m, *args), 9).alias("mass"))
+    return catalog(spark, d).select("event_id", F.round(kernels.spatial_density(r, m, *args), 12).alias("density"), F.round(kernels.spatial_mass(r, m, *args), 9).alias("mass"))
 
 
 @query
@@ -399,18 +442,30 @@ def etas_event_intensity(spark: SparkSession, d: str) -> DataFrame:
 @query
 def etas_log_likelihood(spark: SparkSession, d: str) -> DataFrame:
     t, p = etas_sides(spark, d)
-    out = etas.log_likelihood(t, p, grid.cell_array(CELLS), SPEC, PARAMETERS, FIRST_DAY + 10, FIRST_DAY + 20, AREA)
+    out = etas.log_likelihood(t, p, study_cells(spark), SPEC, PARAMETERS, FIRST_DAY + 10, FIRST_DAY + 20, AREA)
     return out.select("n", F.round("log_sum", 5).alias("log_sum"), "background", F.round("triggered", 5).alias("triggered"), F.round("log_likelihood", 4).alias("log_likelihood"))
 
 
 @query
 def etas_cell_mass(spark: SparkSession, d: str) -> DataFrame:
-    return etas.cell_masses(etas_sides(spark, d)[1], grid.cell_array(CELLS), SPEC, PARAMETERS, FIRST_DAY + 10, FIRST_DAY + 20, AREA).select("row", "column", F.round("mass", 7).alias("mass"))
+    return etas.cell_masses(etas_sides(spark, d)[1], study_cells(spark), SPEC, PARAMETERS, FIRST_DAY + 10, FIRST_DAY + 20, AREA).select("row", "column", F.round("mass", 7).alias("mass"))
 
 
 @query
 def etas_issue_field(spark: SparkSession, d: str) -> DataFrame:
-    return etas.field(etas_sides(spark, d)[1], grid.cell_array(CELLS), SPEC, PARAMETERS, FIRST_DAY + 20, AREA).select("row", "column", F.round("intensity", 9).alias("intensity"))
+    return etas.field(etas_sides(spark, d)[1], study_cells(spark), SPEC, PARAMETERS, FIRST_DAY + 20, AREA).select("row", "column", F.round("intensity", 9).alias("intensity"))
+
+
+@query
+def etas_cell_mass_without_parents(spark: SparkSession, d: str) -> DataFrame:
+    """Before the catalogue begins no parent acts: the background's mass on every cell."""
+    return etas.cell_masses(etas_sides(spark, d)[1], study_cells(spark), SPEC, PARAMETERS, FIRST_DAY - 30, FIRST_DAY - 20, AREA).select("row", "column", F.round("mass", 7).alias("mass"))
+
+
+@query
+def layer_summary(spark: SparkSession, d: str) -> DataFrame:
+    out = etas.layer_summary(etas.field(etas_sides(spark, d)[1], study_cells(spark), SPEC, PARAMETERS, FIRST_DAY + 20, AREA))
+    return out.select("cells", F.round("total", 5).alias("total"), F.round("least", 9).alias("least"), F.round("greatest", 9).alias("greatest"))
 
 
 @query
@@ -511,14 +566,14 @@ def sparse_expected_cells(spark: SparkSession, d: str) -> DataFrame:
 @query
 def etas_simulation(spark: SparkSession, d: str) -> DataFrame:
     history = catalog(spark, d).filter("inside_external_buffer and magnitude >= 5.5")
-    out = simulation.simulate(history, etas.Spec(mc=5.5, lag=3650.0), etas.Parameters(mu=1.0), FIRST_DAY + 31, 30.0, 16, (STUDY_X, STUDY_Y), BUFFER)
+    out = simulation.simulate(history, etas.Spec(mc=5.5, lag=3650.0), etas.Parameters(mu=1.0), FIRST_DAY + 31, 30.0, 128, (STUDY_X, STUDY_Y), BUFFER)
     return out.groupBy("replicate").agg(F.count_if("inside").alias("n"), F.max("generation").alias("generations"))
 
 
 @query
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     gains = kde_scores(spark, d).filter("h = 150").select((F.col("log_density") - F.log(F.lit(1 / AREA))).alias("contribution"))
-    return simulation.interval(simulation.bootstrap_gains(gains, 500))
+    return simulation.interval(simulation.bootstrap_gains(gains))
 
 
 @query
@@ -533,8 +588,8 @@ def etas_fit(spark: SparkSession, d: str) -> DataFrame:
     parents = c.filter("inside_external_buffer and magnitude >= 5.5")
     spec = etas.Spec(mc=5.5, lag=31.0)
     targets = filters.targets(c, 5.5, FIRST_DAY + 5, FIRST_DAY + 20)
-    d_ = fitting.prepare(targets, parents, grid.cell_array(CELLS), spec, FIRST_DAY + 5, FIRST_DAY + 20, AREA)
-    f = fitting.fit(d_, spec, starts=3)
+    d_ = fitting.prepare(targets, parents, study_cells(spark), spec, FIRST_DAY + 5, FIRST_DAY + 20, AREA)
+    f = fitting.fit(d_, spec)
     return spark.createDataFrame([(*[float(x) for x in (f.parameters.mu, f.parameters.k, f.parameters.alpha, f.parameters.c, f.parameters.p, f.log_likelihood)], int(f.converged), bool(f.stable), f.reason)], "mu double, k double, alpha double, c double, p double, log_likelihood double, converged int, stable boolean, reason string")
 
 
@@ -547,25 +602,33 @@ def text_functions(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", textual.normalize_ascii(F.concat(F.lit("  "), F.regexp_replace("p_name", " ", " \t "))).alias("name"), textual.canonical_decimal(F.col("p_retailprice").cast("decimal(12,2)")).alias("price"), textual.content_id(F.col("p_name")).alias("id"))
 
 
+@query
+def loose_names(spark: SparkSession, d: str) -> DataFrame:
+    """Part names with signs for dashes and class words, and numbers in place of some."""
+    key = F.col("p_partkey")
+    name = F.when(key % 5 == 0, F.concat(F.lit("-"), key.cast("string"), F.lit(".5"))).when(key % 5 == 1, F.concat(F.regexp_replace("p_name", " ", "\u2014_"), F.lit("断裂带"))).when(key % 5 == 2, F.concat("p_name", F.lit("断层"))).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", textual.loose_name(name).alias("name"))
+
+
 @query
 def time_functions(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").filter("o_orderkey % 10 = 0")
+    o = table(spark, d, "orders")
     day = F.to_date("o_orderdate")
     return o.select("o_orderkey", F.date_format(moments.conservative_available_at(day, F.date_add(day, (F.col("o_orderkey") % 3).cast("int") - 1)), "yyyy-MM-dd HH:mm").alias("available"), F.round(moments.epoch_day(F.col("o_orderdate").cast("timestamp_ntz")), 6).alias("day"))
 
 
 @query
 def great_circle(spark: SparkSession, d: str) -> DataFrame:
-    c = catalog(spark, d).filter("magnitude >= 5")
+    c = catalog(spark, d)
     lon, lat = F.lit(105.0) + F.col("x_km") / 100, F.lit(35.0) + F.col("y_km") / 100
-    return c.select("event_id", F.round(geodesy.great_circle_km(lon, lat, F.lit(105.0), F.lit(35.0)), 6).alias("km"))
+    return c.select("event_id", F.round(geodesy.great_circle_km(lon, lat, F.lit(105.0), F.lit(35.0)), 3).alias("km"))
 
 
 @query
 def albers_projection(spark: SparkSession, d: str) -> DataFrame:
-    c = catalog(spark, d).filter("magnitude >= 5")
+    c = catalog(spark, d)
     x, y = geodesy.albers(F.lit(105.0) + F.col("x_km") / 100, F.lit(35.0) + F.col("y_km") / 100)
-    return c.select("event_id", F.round(x, 3).alias("x_m"), F.round(y, 3).alias("y_m"))
+    return c.select("event_id", F.round(x, 1).alias("x_m"), F.round(y, 1).alias("y_m"))
 
 
 @query
@@ -573,7 +636,7 @@ def text_catalog(spark: SparkSession, d: str) -> DataFrame:
     """Lines in the fixed layout of a text catalogue, written and parsed again."""
     from tremora.sources import texts
 
-    e = table(spark, d, "events").filter("value > 50")
+    e = table(spark, d, "events")
     line = F.concat_ws(" ", F.date_format("ts", "yyyyMMdd"), F.date_format("ts", "HHmmss.SS"), (F.col("user_id") % 90).cast("string"), F.col("user_id").cast("string"), F.round("value", 1).cast("string"), F.when(F.col("event_id") % 4 == 0, "-1").otherwise("10"), F.lit("000"), F.concat(F.lit("place "), F.col("event_type")))
     parsed = texts.parse_catalog(e.select(F.col("event_id").alias("source_row"), line.alias("value")))
     return parsed.select(F.col("source_row").alias("event_id"), "latitude", "longitude", "magnitude", "depth_km", "place", F.array_join("flags", ",").alias("flags"), F.col("origin_local").cast("string").substr(1, 19).alias("origin_local"))

@@ -87,6 +87,9 @@ kept AS (SELECT l_event_id, r_event_id FROM degrees WHERE ld = 1 AND rd = 1)"""
 sql("dedup_candidates", "SELECT l_event_id, r_event_id, round(seconds, 1) AS seconds, round(km, 6) AS km, dm, auto FROM tagged", PAIRS)
 sql("dedup_accepted", "SELECT l_event_id, r_event_id FROM kept", PAIRS)
 sql("dedup_classified", "SELECT CASE WHEN k.l_event_id IS NOT NULL THEN 'merged' WHEN auto THEN 'ambiguous' ELSE 'review' END AS status, count(*) AS n FROM tagged LEFT JOIN kept k USING (l_event_id, r_event_id) GROUP BY 1", PAIRS)
+sql("dedup_status", """SELECT CASE WHEN best = 1 THEN 'merged' WHEN best = 2 THEN 'ambiguous' WHEN best = 3 THEN 'review' WHEN copy > 1 THEN 'exact_duplicate' ELSE 'unmatched' END AS status, count(*) AS n FROM
+  (SELECT event_id, row_number() OVER (PARTITION BY origin_day, x_km, y_km, magnitude ORDER BY event_id) AS copy FROM catalog WHERE source = 'm3') LEFT JOIN
+  (SELECT t.l_event_id AS event_id, min(CASE WHEN k.l_event_id IS NOT NULL THEN 1 WHEN auto THEN 2 ELSE 3 END) AS best FROM tagged t LEFT JOIN kept k USING (l_event_id, r_event_id) GROUP BY 1) USING (event_id) GROUP BY 1""", PAIRS)
 sql("dedup_events", """SELECT event_id, magnitude, CASE WHEN event_id IN (SELECT r_event_id FROM kept) THEN 'm3+m5' ELSE source END AS sources FROM catalog WHERE event_id NOT IN (SELECT l_event_id FROM kept)""", PAIRS)
 ORACLES["exact_duplicates"] = "SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, count(*) AS n, min(o_orderkey) AS first_key FROM orders GROUP BY 1, 2 HAVING count(*) > 1"
 ORACLES["duplicate_ordinal"] = """SELECT event_id, CAST(row_number() OVER (w ORDER BY event_id) AS INTEGER) AS ordinal, count(*) OVER w AS group_size FROM events
@@ -95,23 +98,24 @@ ORACLES["end_time_revisions"] = """SELECT event_id, coalesce(before IS NOT NULL
   SELECT event_id, finish, lag(finish) OVER w AS before, last_value(finish IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS recent
   FROM (SELECT event_id, user_id, ts, CASE WHEN event_id % 3 > 0 THEN CAST(floor(value) AS BIGINT) END AS finish FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
 ORACLES["key_join_strict"] = "SELECT n_nationkey AS key, n_name, r_name, CASE WHEN n_name IS DISTINCT FROM r_name THEN 'differs' END AS fault FROM nation JOIN region ON n_nationkey = r_regionkey"
-ORACLES["key_set_difference"] = """SELECT key, 'left' AS side FROM (SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT key, 'right' FROM (SELECT o_custkey AS key FROM orders EXCEPT SELECT c_custkey FROM customer)"""
+ORACLES["key_set_difference"] = """WITH f AS (SELECT o_orderkey AS key FROM orders WHERE o_orderstatus = 'F'), r AS (SELECT l_orderkey AS key FROM lineitem WHERE l_returnflag = 'R')
+SELECT key, 'left' AS side FROM (SELECT key FROM f EXCEPT SELECT key FROM r) UNION ALL SELECT key, 'right' FROM (SELECT key FROM r EXCEPT SELECT key FROM f)"""
 ORACLES["crosswalk_two_tier"] = """WITH s AS (SELECT n_nationkey, n_name AS name, substr(n_name, 1, 2) AS loose FROM nation),
 t AS (SELECT n_nationkey + 100 AS trace, CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE substr(n_name, 1, 2) || 'X' END AS name, substr(n_name, 1, 2) AS loose FROM nation WHERE n_nationkey < 20),
 x AS (SELECT n_nationkey, trace, 'exact' AS tier FROM s JOIN t USING (name)),
 y AS (SELECT n_nationkey, trace, 'loose' AS tier FROM s JOIN t USING (loose) WHERE trace NOT IN (SELECT trace FROM x)),
 a AS (SELECT * FROM x UNION ALL SELECT * FROM y)
 SELECT n_nationkey, trace, coalesce(tier, 'unmatched') AS tier FROM s LEFT JOIN a USING (n_nationkey)"""
-sql("parent_windows", """SELECT event_id, round(lower, 6) AS lower, round(upper, 6) AS upper FROM (SELECT event_id, greatest(greatest(CAST(19733 AS DOUBLE), available_day) - origin_day, 0) AS lower, least(CAST(5 AS DOUBLE), 19743 - origin_day) AS upper FROM catalog WHERE magnitude >= 5) WHERE upper > lower""")
-ORACLES["missing_periods"] = """WITH p AS (SELECT DISTINCT user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS period FROM events WHERE value > 100),
+sql("parent_windows", """SELECT event_id, round(lower, 6) AS lower, round(upper, 6) AS upper FROM (SELECT event_id, greatest(greatest(CAST(19733 AS DOUBLE), available_day) - origin_day, 0) AS lower, least(CAST(5 AS DOUBLE), 19743 - origin_day) AS upper FROM catalog) WHERE upper > lower""")
+ORACLES["missing_periods"] = """WITH p AS (SELECT DISTINCT user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS period FROM events),
 w AS (SELECT user_id, CAST(unnest(range(min(period), max(period) + 1)) AS INTEGER) AS period FROM p GROUP BY user_id),
 m AS (SELECT * FROM w WHERE (user_id, period) NOT IN (SELECT (user_id, period) FROM p))
 SELECT m.user_id, m.period, arg_min(p.period, abs(p.period - m.period) * 1000 + p.period) AS nearest FROM m JOIN p USING (user_id) GROUP BY 1, 2"""
-ORACLES["greedy_exposures"] = """WITH RECURSIVE p AS (SELECT DISTINCT user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS day FROM events WHERE user_id < 20),
+ORACLES["greedy_exposures"] = """WITH RECURSIVE p AS (SELECT DISTINCT user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS day FROM events),
 g AS (SELECT user_id, min(day) AS day FROM p GROUP BY user_id UNION ALL
   SELECT user_id, day FROM (SELECT g.user_id, (SELECT min(p.day) FROM p WHERE p.user_id = g.user_id AND p.day >= g.day + 4) AS day FROM g) WHERE day IS NOT NULL)
 SELECT user_id, day FROM g"""
-ORACLES["segment_numbers"] = """SELECT user_id, CAST(segment AS BIGINT) AS segment, count(*) AS points FROM (SELECT user_id, event_type, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS segment FROM events WHERE user_id < 10)
+ORACLES["segment_numbers"] = """SELECT user_id, CAST(segment AS BIGINT) AS segment, count(*) AS points FROM (SELECT user_id, event_type, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS segment FROM events)
 WHERE event_type <> 'error' GROUP BY 1, 2"""
 ORACLES["serial_faults"] = """SELECT l_orderkey, l_linenumber, CAST(place AS INTEGER) AS place FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS place FROM lineitem WHERE l_partkey % 5 > 0) WHERE place <> l_linenumber"""
 ORACLES["period_pivot"] = """SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS period, """ + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in ("click", "error", "purchase", "signup", "view")) + ", count(*) AS n FROM events GROUP BY 1"
@@ -123,12 +127,18 @@ GRID = """{3} AS (SELECT r AS "row", c AS "column", (x1 - x0) * (y1 - y0) AS are
 ORACLES["grid_cells"] = "WITH " + GRID.format(250, -3, -2, "g") + f' SELECT {ID.format(250_000_000, chr(34) + "row" + chr(34), chr(34) + "column" + chr(34))} AS cell_id, area AS area_km2, cx AS x_km, cy AS y_km FROM g'
 sql("cell_assignment", f"SELECT {ID.format(50_000_000, 'r', 'c')} AS cell_id, count(*) AS n FROM (SELECT {CELL.format(50, 'c', 'r')} FROM catalog WHERE inside_study_area) GROUP BY 1")
 sql("fine_to_coarse", 'SELECT CAST(floor(floor(y_km / 50) / 2) AS INTEGER) AS "row", CAST(floor(floor(x_km / 50) / 2) AS INTEGER) AS "column", CAST(count(*) AS DOUBLE) AS value FROM catalog WHERE inside_study_area AND magnitude >= 3.2 GROUP BY 1, 2')
-ORACLES["grid_convergence"] = "WITH " + GRID.format(100, -6, -4, "g") + ", " + GRID.format(50, -12, -8, "f") + """,
-c AS (SELECT "row", "column", exp(-(cx * cx + cy * cy) / 80000.0) * area AS v FROM g),
-s AS (SELECT CAST(floor("row" / 2.0) AS INTEGER) AS "row", CAST(floor("column" / 2.0) AS INTEGER) AS "column", sum(exp(-(cx * cx + cy * cy) / 80000.0) * area) AS v FROM f GROUP BY 1, 2),
-t AS (SELECT (SELECT sum(v) FROM c) AS tc, (SELECT sum(v) FROM s) AS tf),
-o AS (SELECT abs(tc - tf) / greatest(abs(tf), 1e-12) AS rt, (SELECT sum(abs(c.v / tc - s.v / tf)) FROM c JOIN s USING ("row", "column")) AS l1 FROM t)
-SELECT round(rt, 9) AS relative_total, round(l1, 9) AS density_l1, rt <= 0.02 AND l1 <= 0.05 AS passed FROM o"""
+def converges(coarse: str, fine: str, km: float) -> str:
+    """One comparison of two grids, views that GRID makes."""
+    return f"""SELECT CAST({km} AS DOUBLE) AS coarse_km, CAST({km / 2} AS DOUBLE) AS fine_km, round(abs(tc - tf) / greatest(abs(tf), 1e-12), 9) AS relative_total, round(l1, 9) AS density_l1, abs(tc - tf) / greatest(abs(tf), 1e-12) <= 0.02 AND l1 <= 0.05 AS passed
+  FROM (SELECT any_value(tc) AS tc, any_value(tf) AS tf, sum(abs(v / tc - w / tf)) AS l1 FROM (SELECT v, w, sum(v) OVER () AS tc, sum(w) OVER () AS tf FROM
+    (SELECT "row", "column", exp(-(cx * cx + cy * cy) / 80000.0) * area AS v FROM {coarse}) JOIN
+    (SELECT CAST(floor("row" / 2.0) AS INTEGER) AS "row", CAST(floor("column" / 2.0) AS INTEGER) AS "column", sum(exp(-(cx * cx + cy * cy) / 80000.0) * area) AS w FROM {fine} GROUP BY 1, 2) USING ("row", "column")))"""
+
+
+ORACLES["grid_convergence"] = "WITH " + ", ".join([GRID.format(50, -12, -8, "g50"), GRID.format(25, -24, -16, "g25"), GRID.format(12.5, -48, -32, "g12")]) + " " + converges("g50", "g25", 50.0) + " UNION ALL " + converges("g25", "g12", 25.0)
+RATES = "fine AS (SELECT CAST(floor(y_km / 50) AS INTEGER) AS r, CAST(floor(x_km / 50) AS INTEGER) AS c FROM catalog WHERE inside_study_area AND magnitude >= 3.2)"
+sql("grid_filled", 'SELECT coalesce(g."row", pr) AS "row", coalesce(g."column", pc) AS "column", CAST(count(pr) AS DOUBLE) AS value, any_value(area) IS NULL AS orphan FROM g FULL JOIN (SELECT CAST(floor(r / 2.0) AS INTEGER) AS pr, CAST(floor(c / 2.0) AS INTEGER) AS pc FROM fine) ON pr = "row" AND pc = "column" GROUP BY 1, 2', GRID.format(100, -6, -4, "g"), RATES)
+sql("cell_lookup", 'SELECT g."row" IS NULL AS missing, count(*) AS n, count(DISTINCT (r, c)) AS cells FROM (SELECT CAST(floor(y_km / 50) AS INTEGER) AS r, CAST(floor(x_km / 50) AS INTEGER) AS c FROM catalog) LEFT JOIN g ON r = g."row" AND c = g."column" GROUP BY 1', GRID.format(50, -12, -8, "g"))
 
 sql("uniform_poisson_score", """SELECT trained, n, round(trained / CAST(20 AS DOUBLE), 9) AS rate, round(n * ln(trained / CAST(20 AS DOUBLE) / 960000.0) - trained / CAST(20 AS DOUBLE) * 11, 6) AS log_likelihood
   FROM (SELECT count(*) FILTER (origin_day <= 19743) AS trained, count(*) FILTER (origin_day > 19743) AS n FROM catalog WHERE inside_study_area AND magnitude >= 3.2)""")
@@ -139,6 +149,10 @@ KDE = [GRID.format(100, -6, -4, "g"), "hs AS (SELECT * FROM (VALUES (CAST(75 AS
        """dens AS (SELECT event_id, h, ln(avg(exp(-(pow(q.x_km - t.x_km, 2) + pow(q.y_km - t.y_km, 2)) / (2 * h * h)) / (2 * pi() * h * h)) / any_value(z)) AS ld, any_value(q.origin_day) AS day
          FROM catalog q, train t, norm WHERE q.inside_study_area AND q.magnitude >= 5.5 AND q.origin_day > 19743 GROUP BY 1, 2)""",
        "folds AS (SELECT h, CAST(floor((day - 19743) / 3.0) AS INTEGER) AS fold, avg(ld) - ln(1 / CAST(960000 AS DOUBLE)) AS score, count(*) AS n FROM dens WHERE floor((day - 19743) / 3.0) BETWEEN 0 AND 3 GROUP BY 1, 2)"]
+sql("kde_far_density", """SELECT event_id, h, round(ln(sum(exp((least_r2 - r2) / (2 * h * h))) / count(*) / (2 * pi() * h * h) / any_value(z)) - any_value(least_r2) / (2 * h * h), 6) AS log_density FROM
+  (SELECT event_id, r2, min(r2) OVER (PARTITION BY event_id) AS least_r2 FROM (SELECT event_id, pow(q.x_km + 4000 - t.x_km, 2) + pow(q.y_km - t.y_km, 2) AS r2 FROM catalog q, train t WHERE q.inside_study_area AND q.magnitude >= 5.5 AND q.origin_day > 19743)), norm GROUP BY 1, 2""", *KDE)
+sql("exposure_scores", """SELECT CAST(f AS INTEGER) AS fold, count(ld) AS n, round(coalesce(sum(ld + ln(5)), 0) - 15, 6) AS log_likelihood FROM range(6) AS r(f) LEFT JOIN
+  (SELECT ld, floor((day - 19743) / 3.0) AS k FROM dens WHERE h = 150) ON k = f GROUP BY 1""", *KDE)
 sql("kde_cell_mass", 'SELECT h, "row", "column", round(v / z, 9) AS mass FROM raw JOIN norm USING (h)', *KDE)
 sql("kde_event_log_density", "SELECT event_id, h, round(ld, 8) AS log_density FROM dens", *KDE)
 sql("kde_fold_gain", "SELECT h, fold, n, round(score, 8) AS score FROM folds", *KDE)
@@ -152,10 +166,10 @@ sql("info_gain", "SELECT h, CAST(sum(n) AS BIGINT) AS n, round(sum(score * n) /
 sql("g1_gate", """SELECT 'kde' || CAST(CAST(h AS INTEGER) AS VARCHAR) AS model, round(avg(score), 8) AS gain, count(*) FILTER (score > 0) AS positive_folds, h <> 75 AS stable, avg(score) > 0 AND count(*) FILTER (score > 0) >= 3 AND h <> 75 AS passed FROM folds GROUP BY h""", *KDE)
 sql("model_select_one_se", """SELECT 'kde' || CAST(CAST(h AS INTEGER) AS VARCHAR) AS model, round(mean, 8) AS gain, round(se, 8) AS se, eligible, h = bh AS best, h = (SELECT max(h) FROM judged WHERE eligible) AS chosen FROM judged""", *KDE, BEST.format("h ASC"))
 
-sql("omori_weights", """SELECT event_id, round(0.2 / 0.05 * pow(1 + (19754 - origin_day) / 0.05, -1.2), 9) AS density, round(1 - pow(1 + (19754 - origin_day) / 0.05, CAST(-0.2 AS DOUBLE)), 9) AS mass FROM catalog WHERE magnitude >= 5.5""")
+sql("omori_weights", """SELECT event_id, round(0.2 / 0.05 * pow(1 + (19754 - origin_day) / 0.05, -1.2), 9) AS density, round(1 - pow(1 + (19754 - origin_day) / 0.05, CAST(-0.2 AS DOUBLE)), 9) AS mass FROM catalog""")
 POWER = "0.5 / (pi() * {s}) * pow(1 + {r} * {r} / {s}, -1.5) / (1 - pow(1 + 90000 / {s}, -0.5))"
 sql("inverse_power_density", f"""SELECT event_id, round(CASE WHEN r <= 300 THEN {POWER.format(s='s', r='r')} ELSE 0 END, 12) AS density, round((1 - pow(1 + pow(least(r, 300), 2) / s, -0.5)) / (1 - pow(1 + 90000 / s, -0.5)), 9) AS mass
-  FROM (SELECT event_id, sqrt(x_km * x_km + y_km * y_km) AS r, 25.0 * exp(magnitude - 3) AS s FROM catalog WHERE magnitude >= 5.5)""")
+  FROM (SELECT event_id, sqrt(x_km * x_km + y_km * y_km) AS r, 25.0 * exp(magnitude - 3) AS s FROM catalog)""")
 TRIGGER = f"0.2 * exp(m - 4.5) * (0.2 / 0.05 * pow(1 + dt / 0.05, -1.2)) * {POWER.format(s='(25.0 * exp(m - 4.5))', r='r')}"
 ETAS = ["parents AS (SELECT * FROM catalog WHERE inside_external_buffer AND magnitude >= 4.5)", "targets AS (SELECT * FROM catalog WHERE inside_study_area AND magnitude >= 4.5 AND origin_day > 19733 AND origin_day <= 19743)",
         """near AS (SELECT t.event_id AS t_event_id, p.event_id AS p_event_id, t.origin_day - p.origin_day AS dt, sqrt(pow(t.x_km - p.x_km, 2) + pow(t.y_km - p.y_km, 2)) AS r, p.magnitude AS m
@@ -171,6 +185,10 @@ sql("etas_event_intensity", "SELECT event_id, round(intensity, 10) AS intensity
 sql("etas_log_likelihood", """SELECT n, round(ls, 5) AS log_sum, CAST(200 AS DOUBLE) AS background, round(tr, 5) AS triggered, round(ls - 200 - tr, 4) AS log_likelihood
   FROM (SELECT count(*) AS n, coalesce(sum(ln(intensity)), 0) AS ls FROM rates), (SELECT coalesce(sum(expected * part), 0) AS tr FROM spread)""", *ETAS)
 sql("etas_cell_mass", 'SELECT "row", "column", round(sum(expected * part) + 20 * 10 / CAST(960000 AS DOUBLE) * any_value(area), 7) AS mass FROM spread GROUP BY 1, 2', *ETAS)
+sql("etas_cell_mass_without_parents", 'SELECT "row", "column", round(20 * 10 / CAST(960000 AS DOUBLE) * area, 7) AS mass FROM g', GRID.format(100, -6, -4, "g"))
+FIELD = f"""field AS (SELECT "row", "column", area, coalesce((SELECT sum({TRIGGER}) FROM (SELECT 19743 - origin_day AS dt, magnitude AS m, sqrt(pow(x_km - cx, 2) + pow(y_km - cy, 2)) AS r FROM parents
+  WHERE origin_day < 19743 AND origin_day >= 19738 AND available_day <= 19743) WHERE r <= 300), 0) + 20.0 / 960000 AS intensity FROM g)"""
+sql("layer_summary", "SELECT count(*) AS cells, round(sum(intensity * area), 5) AS total, round(min(intensity), 9) AS least, round(max(intensity), 9) AS greatest FROM field", *ETAS, FIELD)
 sql("etas_issue_field", f"""SELECT "row", "column", round(sum(CASE WHEN r <= 300 THEN {TRIGGER} ELSE 0 END) + 20.0 / 960000, 9) AS intensity FROM (
   SELECT "row", "column", 19743 - origin_day AS dt, magnitude AS m, sqrt(pow(x_km - cx, 2) + pow(y_km - cy, 2)) AS r FROM parents, g WHERE origin_day < 19743 AND origin_day >= 19738 AND available_day <= 19743) GROUP BY 1, 2""", *ETAS)
 #: The published scalars of the micro problem.
@@ -199,18 +217,19 @@ sql("future_quantiles", "SELECT horizon, round(avg(n), 9) AS mean, round(quantil
 sql("sparse_expected_cells", 'SELECT CAST(floor(y_km / 200) AS INTEGER) AS "row", CAST(floor(x_km / 200) AS INTEGER) AS "column", count(*) / CAST(32 AS DOUBLE) AS expected FROM future GROUP BY 1, 2', *FUTURE)
 
 ORACLES["text_functions"] = """SELECT p_partkey, nullif(trim(p_name), '') AS name, regexp_replace(CAST(CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DECIMAL(38,18)) AS VARCHAR), '\\.?0+$', '') AS price, substr(sha256(p_name), 1, 16) AS id FROM part"""
+ORACLES["loose_names"] = """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 5 = 1 THEN replace(p_name, ' ', '-') || '断裂' WHEN p_partkey % 5 = 2 THEN p_name || '断裂' ELSE p_name END AS name FROM part"""
 ORACLES["time_functions"] = """SELECT o_orderkey, strftime(CAST(greatest(CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + CAST(o_orderkey % 3 - 1 AS INTEGER)) + 1 AS TIMESTAMP) - INTERVAL 8 HOUR, '%Y-%m-%d %H:%M') AS available,
-round(epoch_us(o_orderdate) / 8.64e10, 6) AS day FROM orders WHERE o_orderkey % 10 = 0"""
-sql("great_circle", """SELECT event_id, round(2 * 6371.0088 * asin(least(1, sqrt(pow(sin(radians(35 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(35.0)) * pow(sin(radians(105 - lon) / 2), 2)))), 6) AS km
-  FROM (SELECT event_id, 105 + x_km / 100 AS lon, 35 + y_km / 100 AS lat FROM catalog WHERE magnitude >= 5)""")
+round(epoch_us(o_orderdate) / 8.64e10, 6) AS day FROM orders"""
+sql("great_circle", """SELECT event_id, round(2 * 6371.0088 * asin(least(1, sqrt(pow(sin(radians(35 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(35.0)) * pow(sin(radians(105 - lon) / 2), 2)))), 3) AS km
+  FROM (SELECT event_id, 105 + x_km / 100 AS lon, 35 + y_km / 100 AS lat FROM catalog)""")
 from tremora.functions import geodesy  # noqa: E402
 
 N_, C_, RHO0 = geodesy._albers_constants()
-sql("albers_projection", f"""SELECT event_id, round(rho * sin(theta), 3) AS x_m, round({RHO0!r} - rho * cos(theta), 3) AS y_m FROM (
+sql("albers_projection", f"""SELECT event_id, round(rho * sin(theta), 1) AS x_m, round({RHO0!r} - rho * cos(theta), 1) AS y_m FROM (
   SELECT event_id, {geodesy.SEMI_MAJOR!r} * sqrt({C_!r} - {N_!r} * (1 - {geodesy.E2!r}) * (s / (1 - {geodesy.E2!r} * s * s) + atanh({geodesy.ECC!r} * s) / {geodesy.ECC!r})) / {N_!r} AS rho, {N_!r} * radians(x_km / 100) AS theta
-  FROM (SELECT event_id, x_km, sin(radians(35 + y_km / 100)) AS s FROM catalog WHERE magnitude >= 5))""")
+  FROM (SELECT event_id, x_km, sin(radians(35 + y_km / 100)) AS s FROM catalog))""")
 ORACLES["text_catalog"] = """SELECT event_id, CAST(user_id % 90 AS DOUBLE) AS latitude, CAST(user_id AS DOUBLE) AS longitude, round(value, 1) AS magnitude, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(10 AS DOUBLE) END AS depth_km, 'place ' || event_type AS place,
-CASE WHEN event_id % 4 = 0 THEN 'availability_optimistic,negative_depth' ELSE 'availability_optimistic' END AS flags, strftime(ts, '%Y-%m-%d %H:%M:%S') AS origin_local FROM events WHERE value > 50"""
+CASE WHEN event_id % 4 = 0 THEN 'availability_optimistic,negative_depth' ELSE 'availability_optimistic' END AS flags, strftime(ts, '%Y-%m-%d %H:%M:%S') AS origin_local FROM events"""
 ORACLES["best_three"] = "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS INTEGER) AS place FROM events QUALIFY place <= 3"
 ORACLES["regression_statistics"] = """SELECT event_type, round(avg(value), 6) AS mean, round(var_samp(value), 4) AS variance, round(max(greatest(place / CAST(n AS DOUBLE) - pit, pit - (place - 1) / CAST(n AS DOUBLE))), 9) AS ks FROM (
   SELECT event_type, value, 1 - exp(-value / 50.0) AS pit, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS place FROM events) GROUP BY 1"""

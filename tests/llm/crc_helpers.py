@@ -32,15 +32,15 @@ def cut_windows(rows, width=20):
 
 
 def top_k(vectors, k, every=50):
-    usable = {}
+    usable = []
     width = max(len(x) for _, x, _ in vectors if x)
     for i, x, _ in vectors:
         if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x):
-            usable[i] = [math.floor(256 * c) for c in x] + [0] * (width - len(x))
+            usable.append((i, tuple([math.floor(256 * c) for c in x] + [0] * (width - len(x)))))
     out = []
-    for q in usable:
+    for q, x in set(usable):
         if q % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(usable[q], v, strict=True)), i) for i, v in usable.items() if i != q)
+            scores = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i) for i, v in usable if i != q)
             out += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
     return sorted(out)
 

@@ -87,14 +87,30 @@ def test_toxicity_learns_and_handles_odd_rows(spark, odd, labels, none):
 
 
 def test_chain_feeds_earlier_probabilities():
-    texts = ["bad thing", "good thing"] * 40
-    y = np.array([1, 0] * 40)
-    chain = toxicity.fit_chain(texts, {"first": y, "second": y})
+    found, y = [[0, 2], [1, 2]] * 40, np.array([1, 0] * 40)
+    chain = toxicity.fit_columns(found, {b"bad": 0, b"good": 1, b"thing": 2}, {"first": y, "second": y})
     assert chain.models[1].weights[len(chain.vocabulary)] > 0 and len(chain.models[0].weights) == len(chain.vocabulary)
     p = chain.predict([[chain.vocabulary[b"bad"]], [chain.vocabulary[b"good"]], []])
     assert p[0, 1] > 0.8 > 0.2 > p[1, 1] and p.shape == (3, 2)
 
 
+def test_kinds_group_toxic_rows_by_their_words():
+    found = [[0, 2], [0], [1, 3], [1], [5], [0, 1]]
+    made = toxicity.kinds(found, np.array([1, 1, 1, 1, 1, 0]), strongest=4)
+    assert made["kind_1"].tolist() == [1, 1, 0, 0, 0, 0] and made["kind_2"].tolist() == [0, 0, 1, 1, 0, 0]
+    assert all(x.sum() == 0 for x in toxicity.kinds(found, np.zeros(6, int)).values())
+
+
+def test_toxicity_of_held_out_rows_and_given_categories(spark):
+    data = "/root/testdata/sf0.01"
+    labels, d = spark.read.parquet(f"{data}/labels.parquet"), spark.read.parquet(f"{data}/documents.parquet")
+    got = toxicity.classify(d, labels).filter("held_out").join(labels, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("share"), F.count("*").alias("n")).collect()
+    share = {r.toxic: r.share for r in got}
+    assert share[0] <= 0.02 and share[1] >= 0.3  # a part of the labelled rows has no toxic word at all
+    more = toxicity.classify(d, labels.withColumn("junk", 1 - F.col("quality")), categories=("junk",))
+    assert "p_junk" in more.columns and more.filter("score between 0 and 1").count() == d.count()
+
+
 # --- 3 exact top-k -------------------------------------------------------------------------------------------------
 
 
@@ -105,6 +121,9 @@ def test_topk_equals_brute_force(spark):
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, rank int").repartition(4)
     got = sorted(tuple(x) for x in topk.top_k(df, block=40, query_block=3, seeds=16).collect())
     assert got == h.top_k(vectors, 5)
+    twice = [(i, [1.0, i % 3 + 0.0], 0) for i in (50, 50, 1, 1, 2, 100)]
+    df2 = spark.createDataFrame(twice, "vec_id long, embedding array<double>, rank int")
+    assert sorted(tuple(x) for x in topk.top_k(df2).collect()) == h.top_k(twice, 5)
     assert topk.top_k(df.limit(0)).count() == 0
     assert topk.top_k(df.filter("vec_id = 50")).count() == 0
     assert topk.top_k(df.filter("vec_id in (50, 100)")).count() == 2
@@ -199,6 +218,31 @@ def test_interleaving_keeps_positions_and_captions(spark):
     assert got[2] == [] and got[3] == [(0, "image", "d1", None, 10)]
 
 
+def test_captions_and_silence():
+    plain = lambda html: [(x["kind"], x["text"], x["caption"]) for x in media.page_items(html)]
+    assert plain("<figure><figcaption>before</figcaption><img src=a><img src=b alt=x></figure>end") == [("image", "a", "before"), ("image", "b", "before"), ("text", "end", None)]
+    assert plain("<figure><img src=a><figcaption>open</figure><p>after") == [("image", "a", "open"), ("text", "after", None)]
+    assert plain("<figure><img src=a><figcaption>open<p>rest<p>more") == [("image", "a", "open"), ("text", "rest", None), ("text", "more", None)]
+    assert plain("<figure><figcaption>alone</figcaption></figure>x") == [("text", "alone", None), ("text", "x", None)]
+    assert plain("<figcaption>no figure</figcaption>x") == [("text", "no figure", None), ("text", "x", None)]
+    assert plain("a<script/>b<noscript>c") == [("text", "abc", None)]
+    assert plain("a<noscript><img src=z>hidden</noscript>b<template>t</template>c") == [("text", "abc", None)]
+    assert plain("<img src=a alt=one><figure><img src=b alt=two></figure>") == [("image", "a", "one"), ("image", "b", "two")]
+    assert plain(None) == [] and plain("") == []
+
+
+def test_pages_keep_all_their_words(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r for r in media.page_summary(pages).collect()}
+    assert len(got) == pages.count()
+    for r in pages.collect():
+        bare = h.re.sub(r"(?is)<(script|style)[^>]*>.*?</\1>|<!--.*?-->|<[^>]*>", " ", r.html or "")
+        words = h.re.findall(h.WORD, __import__("html").unescape(bare))
+        kept = [w for x in media.page_items(r.html) if x["kind"] == "text" for w in h.re.findall(h.WORD, x["text"])]
+        assert "".join(kept) == "".join(words), r.page_id
+        assert got[r.page_id].n_text == sum(x["kind"] == "text" for x in media.page_items(r.html))
+
+
 # --- 7 near-dedup --------------------------------------------------------------------------------------------------
 
 
@@ -242,6 +286,14 @@ def test_neardup_links_copies_edited_apart(spark):
     assert len(set(want.values())) <= 3 and got == want
 
 
+def test_neardup_tells_texts_of_one_id_apart(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, "s"), (1, b, "s"), (2, a + " more", "s"), (-1, b + " more", "s"), (None, b, "s"), (None, "alone in its class", "s")]
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.n_class, r.representative) for r in neardup.classes(docs(spark, rows).repartition(2)).collect())
+    assert got == [(-1, -1, 3, 1), (0, -1, 3, 0), (0, 0, 1, 1), (1, -1, 3, 0), (1, 1, 2, 1), (2, 1, 2, 0)]
+    assert sorted((r.doc_id or 0, r.text) for r in neardup.dedup(docs(spark, rows)).collect()) == [(-1, b + " more"), (0, "alone in its class"), (1, a)]
+
+
 def test_blocks_of_a_bucket_meet_once(spark):
     open_ = spark.createDataFrame([(k, n, n, 30, 1, 1) for k in (1, 2) for n in range(30)], "bucket long, node long, root long, held long, hub long, hub_root long")
     x, y = components.blocks(open_, 7)

@@ -57,7 +57,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, keep_ids=False).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_exact_topk, op4_quality, op5_mixing, op6_media, op7_minhash_dedup, op8_line_dedup, op9_ngram_lm, op10_bpe)}
+def pages_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sequences over the raw web pages."""
+    return media.page_summary(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_exact_topk, op4_quality, op5_mixing, op6_media, op7_minhash_dedup, op8_line_dedup, op9_ngram_lm, op10_bpe, pages_interleaved)}
 
 
 def queries() -> dict:

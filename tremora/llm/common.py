@@ -20,9 +20,11 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir; a folder of our own only where that is unset and Spark is on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tremora-checkpoints-")
         spark.sparkContext.setCheckpointDir(root)
     return root

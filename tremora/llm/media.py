@@ -63,60 +63,84 @@ def png_decode(stored: bytes) -> bytes:
 
 
 class Items(HTMLParser):
-    """Text and media references of a page in reading order. A figure's caption belongs to its media; an image
-    without one has its alt text. Scripts and styles are no text."""
+    """Text and media references of a page in reading order. A figure's caption, before or after, belongs to all of its
+    media; an image without one has its alt text. The caption of a figure without media is text, and so is one outside
+    a figure. Scripts and styles are no text; templates and noscript parts are none if they are closed."""
 
     BREAKS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "article", "section", "nav", "figure", "figcaption", "blockquote", "pre", "title", "body", "head", "header", "footer"}
     SILENT = {"script", "style", "template", "noscript"}
     MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": "source"}
 
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.buffer: list[str] = []
-        self.silent, self.figure, self.caption = 0, None, None
+        self.closings = {x: len(re.findall(f"</{x}", html, re.IGNORECASE)) for x in ("template", "noscript")}
+        self.silent: list[str] = []
+        self.figures: list[tuple[list[dict], list[str]]] = []  # media and caption of each open figure
+        self.captioning = False
 
     def flush(self) -> None:
         text = re.sub(r"[\x20\x09-\x0D]+", " ", "".join(self.buffer)).strip(" ")
         self.buffer = []
         if not text:
             return
-        if self.caption is not None:
-            self.caption.append(text)
+        if self.captioning:
+            self.figures[-1][1].append(text)
         else:
             self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
+    def close_figure(self, ended: bool = True) -> None:
+        """Gives the innermost figure's caption to its media. A caption that nothing ended, in a figure that nothing
+        ended, is its first stretch alone: the rest is text."""
+        self.flush()
+        media, caption = self.figures.pop()
+        rest = caption if not media else [] if ended or not self.captioning else caption[1:]
+        caption = caption if ended or not self.captioning else caption[:1]
+        self.captioning = False
+        for item in media:
+            item["caption"] = " ".join(caption) or item["caption"]
+        self.items += [{"kind": "text", "text": x, "digest": None, "caption": None} for x in rest]
+
     def handle_starttag(self, tag, attrs):
-        if tag in self.SILENT:
-            self.silent += 1
+        if tag in self.SILENT and self.closings.get(tag, 1) > 0:
+            self.silent.append(tag)
+        if self.silent:
+            return
         if tag in self.BREAKS or tag in self.MEDIA:
             self.flush()
         if tag == "figure":
-            self.figure = []
+            self.captioning = False
+            self.figures.append(([], []))
         elif tag == "figcaption":
-            self.caption = []
+            self.captioning = bool(self.figures)
         elif tag in self.MEDIA:
             given = dict(attrs)
             place = given.get("src") or ""
             item = {"kind": self.MEDIA[tag], "text": place, "digest": place.removeprefix("sha256:") if place.startswith("sha256:") else None, "caption": given.get("alt")}
             self.items.append(item)
-            if self.figure is not None:
-                self.figure.append(item)
+            if self.figures:
+                self.figures[-1][0].append(item)
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
+        if tag not in self.SILENT:
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if tag in self.SILENT:
-            self.silent = max(0, self.silent - 1)
+        if tag in self.closings:
+            self.closings[tag] -= 1
+        if tag in self.silent:
+            while self.silent.pop() != tag:
+                pass
+            return
+        if self.silent:
+            return
         if tag in self.BREAKS:
             self.flush()
-        if tag == "figcaption" and self.caption is not None:
-            for item in self.figure or []:
-                item["caption"] = " ".join(self.caption)
-            self.caption = None
-        elif tag == "figure":
-            self.figure = None
+        if tag == "figcaption":
+            self.captioning = False
+        elif tag == "figure" and self.figures:
+            self.close_figure()
 
     def handle_data(self, data):
         if not self.silent:
@@ -125,11 +149,12 @@ class Items(HTMLParser):
 
 def page_items(html: str | None) -> list[dict]:
     """The items of one page, numbered from 0."""
-    parser = Items()
+    parser = Items(html or "")
     parser.feed(html or "")
     parser.close()
-    parser.caption = None
     parser.flush()
+    while parser.figures:
+        parser.close_figure(ended=False)
     return [{"position": i} | x for i, x in enumerate(parser.items)]
 
 
@@ -158,6 +183,15 @@ def interleave(pages: DataFrame, media: DataFrame, key: str = "page_id") -> Data
     return items.join(found, key, "left").select(key, whole.alias("items"))
 
 
+def page_summary(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, n_text, n_media, n_captions and items_sha256 (of kind and text of all items, a line each) of every page."""
+    items = sequences(pages, key)
+    kind = lambda k: F.size(F.filter("items", lambda x: (x["kind"] == "text") == F.lit(k)))
+    lines = F.array_join(F.transform("items", lambda x: F.concat(x["kind"], F.lit(" "), x["text"])), "\n")
+    captions = F.size(F.filter("items", lambda x: x["caption"].isNotNull()))
+    return items.select(key, kind(True).alias("n_text"), kind(False).alias("n_media"), captions.alias("n_captions"), F.sha2(lines.cast("binary"), 256).alias("items_sha256"))
+
+
 def stored_documents(docs: DataFrame) -> DataFrame:
     """page_id, doc_id, n_bytes, html and media of every text: a page with one figure that names its payload by digest.
     media, the PNG, is null where the same task has stored that digest before."""

@@ -4,9 +4,9 @@ The elements of a text are its shingles of five words, weighted by how often the
 shingle. Similarity is the weighted Jaccard index: the sum of the lesser weights over that of the greater ones.
 
 Nulls, ties and odd rows: a null or blank text is in a class of its own; rows without a doc_id are classed like others,
-and a class whose rows all have none has a null class_id; repeated rows, and rows of one doc_id, share a class and one
-of them represents it; an empty table gives an empty
-result; columns other than doc_id and text are not read.
+and a class whose rows all have none has a null class_id; a class is represented by its least doc_id, rows without one
+last; repeated rows share a class; rows of one doc_id with different texts are texts of their own, told apart by a hash
+of 64 bits; an empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremora.llm import tokens
-from tremora.llm.common import pack, release, unpack, written
+from tremora.llm.common import bounded_batches, lean, pack, release, unpack, written
 from tremora.llm.components import blocks, resolved
 
 PORTION = 8 << 20
@@ -107,7 +107,7 @@ def banded(signature: np.ndarray, bands: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """node, row, doc_id, th and k1, k2 (hashes of the text) and bands (null for a text without words): a narrow map."""
+    """row, doc_id, th and k1, k2 (hashes of the text), has (whether it has words) and bands: a narrow map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,10 +120,9 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, h.size + 1, bands), pa.int32()), pa.array(h.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(has), lists], names=["doc_id", "th", "k1", "k2", "has", "bands"])
 
+    bounded_batches(docs.sparkSession)
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    rows_ = rows_.mapInArrow(run, "doc_id long, th long, k1 long, k2 long, has boolean, bands array<long>")
-    # a row without an id gets one from its text, beyond all real ones
-    return rows_.withColumn("row", F.monotonically_increasing_id()).withColumn("node", F.coalesce("doc_id", F.lit(2**62) + F.pmod("k1", F.lit(2**62))))
+    return rows_.mapInArrow(lean(run), "doc_id long, th long, k1 long, k2 long, has boolean, bands array<long>").withColumn("row", F.monotonically_increasing_id())
 
 
 def counted(docs: DataFrame, width: int) -> DataFrame:
@@ -137,7 +136,7 @@ def counted(docs: DataFrame, width: int) -> DataFrame:
                 cut = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([pack(value[a:b]) for a, b in cut], pa.binary()), pa.array([pack(count[a:b].astype(np.uint32)) for a, b in cut], pa.binary())], names=["node", "values", "counts"])
 
-    return docs.mapInArrow(run, "node long, values binary, counts binary")
+    return docs.mapInArrow(lean(run), "node long, values binary, counts binary")
 
 
 def weighted_jaccard(v1: np.ndarray, c1: np.ndarray, v2: np.ndarray, c2: np.ndarray) -> float:
@@ -160,7 +159,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("values").alias("v1"), F.col("counts").alias("c1"))
     right = sets.select(F.col("node").alias("b"), F.col("values").alias("v2"), F.col("counts").alias("c2"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "v1", "c1", "v2", "c2").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "v1", "c1", "v2", "c2").mapInArrow(lean(run), "a long, b long")
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -175,7 +174,7 @@ def marked(docs: DataFrame) -> DataFrame:
                 marks.append(pack(np.sort((tokens.mix(np.repeat(values, counts) + copy.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32))))
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(marks, pa.binary())], names=["node", "marks"])
 
-    return docs.select("node", "values", "counts").mapInArrow(run, "node long, marks binary")
+    return docs.select("node", "values", "counts").mapInArrow(lean(run), "node long, marks binary")
 
 
 def near(first: pa.Table, second: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -228,41 +227,26 @@ def classes(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 24
     Equal texts are one node. Every pair of texts that share a bucket in some band is checked, or both are in one class
     already; see resolved(). With 24 bands of 5 rows a pair of similarity 0.8 shares a bucket with probability 0.9999."""
     rows_ = written(signed(docs, width, bands, rows), "signed")
-    nodes = written(rows_.filter("has").groupBy("k1", "k2").agg(F.min(F.struct("node", "row")).alias("first"), F.first("bands").alias("bands")).select("k1", "k2", F.col("first.node").alias("rep"), F.col("first.row").alias("rep_row"), "bands"), "nodes")
-    members = nodes.select(F.col("rep").alias("node"), F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
+    nodes = written(rows_.filter("has").groupBy("th", "k1", "k2").agg(F.first("bands").alias("bands")), "nodes")
+    members = nodes.select(F.col("th").alias("node"), F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     members = written(members.join(shared, "bucket"), "buckets")
     wanted = members.select("node").distinct()
-    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    lost = rows_.filter("doc_id is null").limit(1).count()
-    if lost:  # rows without an id: their node comes from the text, as in signed()
-        named = signed_text(docs)
+    named = docs.select(F.xxhash64("text").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     sets = written(counted(named.join(wanted.hint("merge"), "node", "left_semi"), width).dropDuplicates(["node"]), "sets")
     roots = resolved(members, lambda pairs: verified(pairs, sets, least), lambda open_: verified(written(crossing(open_, sets, least), "near"), sets, least))
     release(members, sets)
-    node_class = nodes.join(roots, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"), (F.coalesce("root", "rep") == F.col("rep")).alias("of_root"), "rep_row")
-    classed = rows_.select("doc_id", "th", "node", "row", "k1", "k2", "has").join(node_class, ["k1", "k2"], "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = classed.filter("has").groupBy("root").agg(F.count("*").alias("n_class"))
-    out = classed.join(sizes, "root", "left")
-    class_id = F.when(~F.col("has"), F.col("doc_id")).when(F.col("root") < 2**62, F.col("root"))
-    return out.select("doc_id", class_id.alias("class_id"), F.when(F.col("has"), F.col("n_class")).otherwise(1).alias("n_class"), (~F.col("has") | (F.col("of_root") & (F.col("row") == F.col("rep_row")))).cast("int").alias("representative"), "th")
-
-
-def signed_text(docs: DataFrame) -> DataFrame:
-    """node and text of every row, nodes as in signed()."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column("text").fill_null("")
-            key = [np.frombuffer(xxhash.xxh3_128_digest(x.as_py()), np.int64)[0] for x in text]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key, pa.int64()), text], names=["doc_id", "k1", "text"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, k1 long, text string")
-    return rows.select(F.coalesce("doc_id", F.lit(2**62) + F.pmod("k1", F.lit(2**62))).alias("node"), "text")
+    named_rows = rows_.select("doc_id", "th", "row", "has").join(roots, F.col("th") == F.col("node"), "left").withColumn("root", F.coalesce("root", "th")).drop("node")
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.col("row"))
+    whole = named_rows.filter("has").groupBy("root").agg(F.count("*").alias("n_class"), F.min(first).alias("first"))
+    out = named_rows.join(whole, "root", "left")
+    class_id = F.when(F.col("has"), F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", class_id.alias("class_id"), F.when(F.col("has"), F.col("n_class")).otherwise(1).alias("n_class"), (~F.col("has") | (F.col("row") == F.col("first.row"))).cast("int").alias("representative"), "th")
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """One row of each class, with all columns of docs."""
-    key = {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__th": F.xxhash64("text")}
-    kept = classes(docs, **options).filter("representative = 1").select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("th").alias("__th"))
-    return docs.withColumns(key).join(kept, ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).drop("__id", "__th")
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
+    kept = classes(docs, **options).filter("representative = 1").select(F.col("doc_id").alias("__kept_id"), F.col("th").alias("__kept_th")).distinct()
+    same = F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__th") == F.col("__kept_th"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["__id", "__th"]).drop("__id", "__th")

@@ -1,8 +1,8 @@
 """Exact top-k inner products: vectors by descending length, SVD-rotated partial sums, Cauchy-Schwarz pruning.
 
 Nulls, ties and odd rows: vectors that are null, or hold a null or non-finite component, and rows without an id take no
-part; a shorter vector counts as padded with zeros; repeated equal rows are one; ties go to the smaller id; a query
-with no candidate gives no row; an empty table gives an empty result; extra columns are not read.
+part; a shorter vector counts as padded with zeros; repeated equal rows are candidates of their own and one query;
+rows with a query's id are no candidates of it; ties go to the smaller id; a query with no candidate gives no row; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremora.llm.common import written
+
 BANDS = 64
 
 
 def quantised(table: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, v (packed int64 of floor(scale * x)), norm: of each usable row once."""
+    """vec_id, v (packed int64 of floor(scale * x)), norm: of each usable row."""
     width = table.select(F.max(F.size("embedding"))).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,7 +38,7 @@ def quantised(table: DataFrame, scale: int = 256) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vs, pa.binary()), pa.array(norms, pa.float64())], names=["vec_id", "v", "norm"])
 
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return rows.mapInArrow(run, "vec_id long, v binary, norm double").dropDuplicates(["vec_id", "v"])
+    return rows.mapInArrow(run, "vec_id long, v binary, norm double")
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -99,9 +101,9 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, block: int = 16_384, qu
     about ``block`` rows by hash, so equal lengths are no hot block. A query is sent to the blocks whose longest vector
     can still reach its floor; each pair of blocks is one task's group, of bounded size.
     """
-    vectors = quantised(table).cache()
+    vectors = written(quantised(table), "vectors")
     size = vectors.count()
-    queries = vectors.filter(F.pmod("vec_id", F.lit(every)) == 0)
+    queries = vectors.filter(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "v"])
     fitted = matrix(pa.array([bytes(r.v) for r in vectors.orderBy(F.xxhash64("vec_id"), "v").limit(sample).select("v").collect()])).astype(np.float64)
     rotation = np.linalg.svd(fitted.T @ fitted)[2].T if len(fitted) else np.eye(1)
     spread = np.cumsum(((fitted @ rotation) ** 2).sum(0)) if len(fitted) else np.ones(1)

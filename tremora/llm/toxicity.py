@@ -1,14 +1,14 @@
 """Toxicity: a classifier chain. Categories are predicted one after another; the linear model of a later one also gets
-the probabilities of the earlier ones, out of fold while it is trained.
+the probabilities of the earlier ones, out of fold while it is trained. Categories before the last are columns of the
+labels, or groups of the toxic training texts by the words they share.
 
 Nulls, ties and odd rows: a null text counts as empty; labels that are null or neither 0 nor 1 teach nothing; without
-labels of both kinds a category's probability is the share of label 1 (0 without any); a null doc_id is held out of
-learning; repeated rows are rows of their own; an empty table gives an empty result; extra columns are not read.
+labels of both kinds a category's probability is the share of label 1 (0 without any); a null label of another category
+counts as 0; a null doc_id is held out of learning; repeated rows are rows of their own; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,14 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremora.llm.common import written
+from tremora.llm.common import bounded_batches, lean, release, written
 from tremora.llm.quality import held_out
 from tremora.llm.tokens import portions
 
-PORTION = 8 << 20
+PORTION = 2 << 20
 #: Bytes that end a word here: all but letters, digits and those above 127; A to Z become a to z.
 SPLITTER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
-SEEN = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def terms(text: str | None) -> dict[bytes, int]:
@@ -40,7 +39,7 @@ class Linear(NamedTuple):
     bias: float
 
 
-def fit_linear(rows: np.ndarray, columns: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int, ridge: float = 1.0, steps: int = 60) -> Linear:
+def fit_linear(rows: np.ndarray, columns: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int, ridge: float = 0.1, steps: int = 200) -> Linear:
     """Logistic regression by Newton steps on a diagonal bound. Entries (rows, columns) of the sparse part are 1;
     dense columns follow them."""
     n, d = len(y), width + dense.shape[1]
@@ -78,72 +77,92 @@ class Chain(NamedTuple):
         return out
 
 
-def fit_chain(texts: list[str], labels: dict[str, np.ndarray], most_terms: int = 4_096, folds: int = 4, least: int = 3) -> Chain:
-    """Trains one model a category, in the given order.
-
-    Terms are those whose share among texts with some label 1 exceeds that among the others the most. To train
-    category k, the probabilities of each earlier category come from models that have not seen the row's fold."""
-    bags = [set(terms(t)) for t in texts]
-    some = np.zeros(len(texts), bool)
-    for y in labels.values():
-        some |= y == 1
-    in_docs: dict[bytes, list[int]] = {}
-    for bag, s in zip(bags, some.tolist(), strict=True):
-        for w in bag:
-            in_docs.setdefault(w, [0, 0])[s] += 1
-    n0, n1 = max(int((~some).sum()), 1), max(int(some.sum()), 1)
-
-    def weight(item):
-        without, within = item[1]
-        p, q = (within + 0.5) / (n1 + 1), (without + 0.5) / (n0 + 1)
-        return -abs(p - q) / (p * (1 - p) / n1 + q * (1 - q) / n0) ** 0.5, item[0]
-
-    chosen = [w for w, _ in sorted(((w, c) for w, c in in_docs.items() if sum(c) >= least), key=weight)[:most_terms]]
-    vocabulary = {w: i for i, w in enumerate(chosen)}
-    found = [sorted(vocabulary[w] for w in bag if w in vocabulary) for bag in bags]
-    rows, columns = np.repeat(np.arange(len(found)), [len(x) for x in found]), np.array([c for x in found for c in x], np.int64)
-    fold = np.arange(len(texts)) % folds
-    given, models = np.zeros((len(texts), 0)), []
+def fit_columns(found: list[list[int]], vocabulary: dict[bytes, int], labels: dict[str, np.ndarray], folds: int = 4) -> Chain:
+    """Trains one model a category, in the given order. found: the vocabulary columns of each row. To train category k,
+    the probabilities of each earlier category come from models that have not seen the row's fold."""
+    n = len(found)
+    rows, columns = np.repeat(np.arange(n), [len(x) for x in found]), np.array([c for x in found for c in x], np.int64)
+    fold = np.arange(n) % folds
+    given, models = np.zeros((n, 0)), []
     for y in labels.values():
         y = y.astype(np.float64)
         models.append(fit_linear(rows, columns, given, y, len(vocabulary)))
-        outside = np.zeros(len(texts))
+        outside = np.zeros(n)
         for k in range(folds):
             learn = fold != k
             place = np.cumsum(learn) - 1
             entries = learn[rows]
             m = fit_linear(place[rows[entries]], columns[entries], given[learn], y[learn], len(vocabulary))
-            z = np.bincount(rows, m.weights[columns], len(texts)) + given @ m.weights[len(vocabulary) :] + m.bias
+            z = np.bincount(rows, m.weights[columns], n) + given @ m.weights[len(vocabulary) :] + m.bias
             outside[~learn] = (1 / (1 + np.exp(-np.clip(z, -30, 30))))[~learn]
         given = np.column_stack((given, outside))
     return Chain(tuple(labels), vocabulary, tuple(models))
 
 
-#: Words by which a toxic text also belongs to a category before the last. They only make training
-#: labels; what a category's model looks for is learned.
-SEED_WORDS = {"insult": ("loser", "idiot", "scum", "moron", "clown"), "contempt": ("pathetic", "worthless", "trash", "disgusting", "stupid")}
+def kinds(found: list[list[int]], toxic: np.ndarray, strongest: int = 64, k: int = 2, rounds: int = 10) -> dict[str, np.ndarray]:
+    """Categories of the toxic rows where labels name none: k groups by spherical k-means over the ``strongest`` first
+    columns, started from rows that share the least. A row without any of them is in none."""
+    at = np.flatnonzero(toxic == 1)
+    x = np.zeros((len(at), strongest))
+    for i, j in enumerate(at.tolist()):
+        x[i, [c for c in found[j] if c < strongest]] = 1
+    size = np.sqrt((x**2).sum(1))
+    x[size > 0] /= size[size > 0, None]
+    held = np.flatnonzero(size > 0)
+    out = {f"kind_{g + 1}": np.zeros(len(toxic), np.int64) for g in range(k)}
+    if len(held) < k:
+        return out
+    centres = x[held[:1]]
+    while len(centres) < k:
+        centres = np.vstack((centres, x[held[np.argmin((x[held] @ centres.T).max(1))]]))
+    group = np.zeros(len(held), np.int64)
+    for _ in range(rounds):
+        group = np.argmax(x[held] @ centres.T, 1)
+        centres = np.stack([x[held[group == g]].sum(0) if (group == g).any() else centres[g] for g in range(k)])
+        centres /= np.maximum(np.sqrt((centres**2).sum(1)), 1e-12)[:, None]
+    for g in range(k):
+        out[f"kind_{g + 1}"][at[held[group == g]]] = 1
+    return out
+
 
+def train(docs: DataFrame, labels: DataFrame, most: int = 10_000, most_terms: int = 4_096, least: int = 3, strong: float = 3.0, folds: int = 5, categories: tuple[str, ...] = ()) -> Chain:
+    """Fits on at most ``most`` labelled rows outside the held-out fold, the first by a hash of their ids. categories:
+    columns of labels that come before ``toxic`` in the chain; without any, kinds() makes them from the texts.
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 10_000, folds: int = 5) -> Chain:
-    """Fits on at most ``most`` labelled rows outside the held-out fold, the first by a hash of their ids. Only the
-    ids of that bounded sample are joined to the texts."""
-    known = labels.filter(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
-    chosen = known.filter(~held_out(F.col("doc_id"), folds)).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
-    chosen = written(chosen, "toxicity")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # ``most`` rows of 12 bytes
-    bags = rows.select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(bag_text, "doc_id long, y int, text string")
-    got = sorted((r.doc_id, r.y, r.text) for r in bags.collect())
-    texts, toxic = [r[2] for r in got], np.array([r[1] for r in got], np.int64)
-    made = {name: np.array([int(t == 1 and not bag.isdisjoint(words)) for t, bag in zip(toxic.tolist(), (set(x.split(" ")) for x in texts), strict=True)], np.int64) for name, words in SEED_WORDS.items()}
-    return fit_chain(texts, made | {"toxic": toxic})
+    Words are counted by Spark. The driver gets ``most_terms`` words at most, those whose share among toxic rows differs
+    from that among the others the most and by ``strong`` deviations, and for each row the numbers of those it holds."""
+    wanted = ["toxic", *categories]
+    known = labels.filter(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), *[F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(f"y_{c}") for c in wanted])
+    ys = [f"y_{c}" for c in wanted]
+    chosen = written(known.filter(~held_out(F.col("doc_id"), folds)).orderBy(F.xxhash64("doc_id"), "doc_id", *ys).limit(most), "toxicity")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # ``most`` rows of a few numbers
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", *ys, F.xxhash64("text")).limit(most)
 
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch, PORTION):
+                words = [sorted(terms(t)) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[part.column(y) for y in ys], pa.array(words, pa.list_(pa.binary()))], names=["doc_id", *ys, "words"])
+
+    schema = "doc_id long, " + ", ".join(f"{y} int" for y in ys) + ", "
+    held = written(rows.mapInArrow(lean(bags), schema + "words array<binary>"), "toxicity-words")
+    n1, n = (int(x or 0) for x in held.agg(F.sum("y_toxic"), F.count("*")).first())
+    counts = held.select("y_toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(F.col("y_toxic") == 0).alias("without"), F.count_if(F.col("y_toxic") == 1).alias("within"))
+    p, q = (F.col("within") + 0.5) / (max(n1, 1) + 1), (F.col("without") + 0.5) / (max(n - n1, 1) + 1)
+    strength = F.abs(p - q) / F.sqrt(p * (1 - p) / max(n1, 1) + q * (1 - q) / max(n - n1, 1))
+    top = counts.withColumn("strength", F.round(strength, 9)).filter((F.col("without") + F.col("within") >= least) & (F.col("strength") >= strong)).orderBy(F.desc("strength"), "word").limit(most_terms).collect()
+    vocabulary = {bytes(r.word): i for i, r in enumerate(top)}
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(c for w in words if (c := vocabulary.get(w)) is not None) for words in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[batch.column(y) for y in ys], pa.array(found, pa.list_(pa.int32()))], names=["doc_id", *ys, "found"])
 
-def bag_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text as its different words in order: all that training needs of it."""
-    for batch in batches:
-        for part in portions(batch, PORTION):
-            bags = [" ".join(sorted(w.decode("utf-8", "replace") for w in terms(t))) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(bags, pa.string())], names=["doc_id", "y", "text"])
+    got = sorted((tuple(r) for r in held.mapInArrow(numbers, schema + "found array<int>").collect()), key=lambda r: (r[0], r))
+    release(chosen, held)
+    found, toxic = [list(r[-1]) for r in got], np.array([r[1] for r in got], np.int64)
+    given = {c: np.array([r[2 + i] for r in got], np.int64) for i, c in enumerate(categories)}
+    return fit_columns(found, vocabulary, (given or kinds(found, toxic)) | {"toxic": toxic})
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
@@ -158,7 +177,8 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
                 p = chain.predict(found)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(p[:, i]) for i in range(len(names))]], names=["doc_id", *names])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{x} double" for x in names))
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, " + ", ".join(f"{x} double" for x in names))
     return rows.withColumn("flagged", (F.col(names[-1]) >= threshold).cast("int"))
 
 

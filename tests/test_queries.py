@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tremora.plans.catalogue import ORACLES, QUERIES
+from tremora.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.01"
 

@@ -138,18 +138,97 @@ def hessian(f: Callable, x: np.ndarray, step: float = 1e-4) -> np.ndarray:
     return out
 
 
+class Audit(NamedTuple):
+    """What a stable fit must show, and by how much."""
+
+    stable: bool
+    reasons: tuple[str, ...]
+    converged: int
+    spread: float | None  # relative range of the best three objectives
+    parameter_range: float | None  # greatest range of a logged parameter among them
+    least_eigenvalue: float | None
+    condition: float | None
+    curvature: np.ndarray | None
+
+
+#: Starts that must converge, greatest gradient, ranges of the best three, least eigenvalue, greatest
+#: condition number.
+LEAST_CONVERGED, MOST_GRADIENT, MOST_SPREAD, MOST_RANGE, LEAST_EIGENVALUE, MOST_CONDITION = 4, 1e-4, 1e-4, 0.1, 1e-8, 1e10
+
+
+def audit(f: Callable, results: list[tuple[np.ndarray, float, bool]], bounds: np.ndarray) -> Audit:
+    """Judges the starts of a fit, each (point, objective, converged)."""
+    clip = lambda v: np.clip(v, bounds[:, 0], bounds[:, 1])
+    done = sorted((r for r in results if r[2] and np.isfinite(r[1])), key=lambda r: r[1])
+    reasons, spread, reach, least, condition, curve = [], None, None, None, None, None
+    if len(done) < LEAST_CONVERGED:
+        reasons.append("starts")
+    if any(np.abs(clip(x - gradient(f, x, bounds)) - x).max() > MOST_GRADIENT for x, _, _ in done):
+        reasons.append("gradient")
+    if len(done) >= 3:
+        spread = (done[2][1] - done[0][1]) / max(1.0, abs(done[0][1]))
+        reach = float(np.ptp(np.array([r[0] for r in done[:3]]), 0).max())
+        reasons += ["spread"] * (spread > MOST_SPREAD) + ["parameters"] * (reach > MOST_RANGE)
+    else:
+        reasons.append("agreement")
+    if done:
+        x = done[0][0]
+        inside = ((x - bounds[:, 0]) > 1e-3) & ((bounds[:, 1] - x) > 1e-3)
+        curve = hessian(f, x) if inside.all() else None
+        if curve is not None and np.isfinite(curve).all():
+            eigen = np.linalg.eigvalsh(curve)
+            least, condition = float(eigen[0]), float(eigen[-1] / eigen[0]) if eigen[0] > 0 else float("inf")
+        if least is None or least < LEAST_EIGENVALUE or condition > MOST_CONDITION:
+            reasons.append("curvature")
+    else:
+        reasons.append("curvature")
+    return Audit(not reasons, tuple(reasons), len(done), spread, reach, least, condition, curve)
+
+
+def branching_slope(alpha: float, beta: float, span: float) -> float:
+    """The derivative by alpha of the mean productivity exp(alpha (m - mc)) under the truncated law, exactly: near
+    alpha = beta, where the closed form divides by a vanishing number, by its series."""
+    z = (beta - alpha) * span
+    scale = beta * span / -np.expm1(-beta * span)
+    if abs(z) < 1e-3:  # of (1 - exp(-z)) / z
+        return scale * span * (1 / 2 - z / 3 + z**2 / 8 - z**3 / 30)
+    return scale * span * (-np.expm1(-z) - z * np.exp(-z)) / z**2
+
+
+def uncertainty(w: Parameters, judged: Audit, s: Spec) -> dict[str, tuple[float, float, float, float]]:
+    """Value, deviation and 95 % interval of mu, K, alpha, c, p and the branching ratio by the delta method, from the
+    curvature at the logged parameters. Only for a stable fit."""
+    if not judged.stable or judged.curvature is None:
+        raise ValueError("only a stable fit has an uncertainty")
+    values = np.array([w.mu, w.k, w.alpha, w.c, w.p - 1])
+    covariance = values[:, None] * np.linalg.inv(judged.curvature) * values[None, :]
+    covariance = (covariance + covariance.T) / 2
+    span = s.most - s.mc
+    ratio = branching(w.k, w.alpha, s.beta, span)
+    slope = np.array([0.0, ratio / w.k, w.k * branching_slope(w.alpha, s.beta, span), 0.0, 0.0])
+    named = {n: (v, c) for n, v, c in zip(("mu", "k", "alpha", "c", "p"), (w.mu, w.k, w.alpha, w.c, w.p), np.diag(covariance), strict=True)}
+    named["branching_ratio"] = (ratio, slope @ covariance @ slope)
+    out = {}
+    for n, (v, c) in named.items():
+        if not c >= 0:
+            raise ValueError(f"the variance of {n} is negative")
+        d = float(np.sqrt(c))
+        out[n] = (float(v), d, float(v - 1.959963984540054 * d), float(v + 1.959963984540054 * d))
+    return out
+
+
 class Fit(NamedTuple):
     parameters: Parameters
     log_likelihood: float
     converged: int
     stable: bool
     reason: str
-    deviations: np.ndarray  # of the logged parameters
+    audit: Audit
+    intervals: dict | None  # of a stable fit
 
 
 def fit(d: Prepared, s: Spec, model: str = "etas", starts: int = 5, bounds: np.ndarray = BOUNDS) -> Fit:
-    """Seeded starts, the best one, and its audit: enough starts converge, the best three agree, the gradient is flat
-    and the curvature positive and well conditioned."""
+    """Seeded starts, the best one, its audit and, where that is passed, its uncertainty."""
     f = lambda x: objective(x, d, s)
     results = []
     for i in range(starts):
@@ -158,19 +237,8 @@ def fit(d: Prepared, s: Spec, model: str = "etas", starts: int = 5, bounds: np.n
             x[1] -= 0.5  # less productive, until the branching ratio is valid
             x = np.clip(x, bounds[:, 0], bounds[:, 1])
         results.append(minimise(f, x, bounds))
-    results.sort(key=lambda r: r[1])
-    x, value, _ = results[0]
-    top, converged = results[:3], sum(r[2] for r in results)
-    inside = ((x - bounds[:, 0]) > 1e-3) & ((bounds[:, 1] - x) > 1e-3)
-    curve = hessian(f, x) if inside.all() else np.full((5, 5), np.nan)
-    eigen = np.linalg.eigvalsh(curve) if np.isfinite(curve).all() else np.array([-1.0])
-    checks = {
-        "starts": converged >= starts - 1,
-        "spread": top[-1][1] - value <= 1e-4 * max(1.0, abs(value)),
-        "parameters": np.ptp(np.array([r[0] for r in top]), 0).max() <= 0.1,
-        "gradient": np.abs(np.clip(x - gradient(f, x, bounds), bounds[:, 0], bounds[:, 1]) - x).max() <= 1e-4,
-        "curvature": eigen[0] >= 1e-8 and eigen[-1] / max(eigen[0], 1e-300) <= 1e10,
-    }
+    judged = audit(f, results, bounds)
+    x, value, _ = min(results, key=lambda r: r[1])
     mu, k, alpha, c, p1 = np.exp(x)
-    deviations = np.sqrt(np.diag(np.linalg.inv(curve))) if checks["curvature"] else np.full(5, np.nan)
-    return Fit(Parameters(mu, k, alpha, c, p1 + 1), -value, converged, all(checks.values()), ",".join(n for n, ok in checks.items() if not ok), deviations)
+    w = Parameters(mu, k, alpha, c, p1 + 1)
+    return Fit(w, -value, judged.converged, judged.stable, ",".join(judged.reasons), judged, uncertainty(w, judged, s) if judged.stable else None)

@@ -117,6 +117,65 @@ def simulate(history: DataFrame, s: Spec, w: Parameters, start: float, days: flo
     return spark.range(replicates).select(F.col("id").cast("int").alias("replicate")).groupBy("replicate").applyInPandas(run, EVENTS)
 
 
+def kde_sampler(x: np.ndarray, y: np.ndarray, h: float, domain, most: int = 1_000_000):
+    """Draws places of immigrants from a kernel density, given that they lie in the study area: a training point, a
+    Gaussian step of width h, and again until it is inside. Raises after ``most`` tries."""
+    if not len(x):
+        raise ValueError("no training points to draw from")
+
+    def draw(g: np.random.Generator) -> tuple[float, float]:
+        for _ in range(most):
+            i = int(g.integers(0, len(x)))
+            at = float(g.normal(x[i], h)), float(g.normal(y[i], h))
+            if domain(*at) == "study":
+                return at
+        raise RuntimeError("no place inside the study area was found")
+
+    return draw
+
+
+def futures(catalog: DataFrame, issues: list[float], s: Spec, w: Parameters, days: float, replicates: int, training: DataFrame, h: float, half: tuple[float, float] = (600.0, 400.0), buffer: float = 300.0, most_events: int = 100_000, most_points: int = 100_000) -> DataFrame:
+    """issue_day and EVENTS of every replicate of every issue. Each (issue, replicate) is a group of its own, seeded by
+    both; it starts from the history visible at its issue, and immigrants come from the kernel density of ``training``.
+
+    The events that some issue may see and the training points go to every task; their number is checked first."""
+    spark = catalog.sparkSession
+    first, last = min(issues) - s.lag, max(issues)
+    seen = catalog.filter(F.col("inside_external_buffer") & (F.col("magnitude") >= s.mc) & (F.col("origin_day") > first) & (F.col("origin_day") <= last)).select("event_id", "origin_day", "available_day", "x_km", "y_km", "magnitude")
+    points = training.select("x_km", "y_km")
+    if seen.limit(most_points + 1).count() > most_points or points.limit(most_points + 1).count() > most_points:
+        raise ValueError("the history or the training set is too large to go to every task")
+    given, places = seen.orderBy("origin_day", "event_id").toPandas(), points.orderBy("x_km", "y_km").toPandas()
+    domain = box_domain(*half, buffer)
+    immigrant = kde_sampler(places["x_km"].to_numpy(), places["y_km"].to_numpy(), h, domain)
+
+    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        issue, i = float(key[0]), int(key[1])
+        history = given[(given["origin_day"] <= issue) & (given["origin_day"] > issue - s.lag) & (given["available_day"] <= issue)]
+        g = generator("tremora", "future_simulation", f"{issue:.6f}", replicate=i)
+        rows = simulate_one(g, history, s, w, issue, days, domain, immigrant, most_events)
+        return pd.DataFrame([(issue, i, *r) for r in rows], columns=["issue_day", "replicate", "event_id", "parent_id", "generation", "origin_day", "x_km", "y_km", "magnitude", "inside"])
+
+    plan = spark.range(replicates).select(F.col("id").cast("int").alias("replicate"), F.explode(F.array(*[F.lit(float(x)) for x in issues])).alias("issue_day"))
+    return plan.groupBy("issue_day", "replicate").applyInPandas(run, "issue_day double, " + EVENTS)
+
+
+def in_order(events: DataFrame) -> DataFrame:
+    """Simulated events in their total order: time, generation, parent, number of the child."""
+    child = F.substring_index("event_id", "/", -1).try_cast("int")
+    return events.orderBy("replicate", "origin_day", "generation", "parent_id", child, "event_id")
+
+
+def ensemble(counts: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """The long table of a result: rows of kind replicate_count (issue_day, horizon, replicate, n) and, with cells
+    (issue_day, horizon, cell_id, expected), of kind expected_cell."""
+    blank = lambda kind: F.lit(None).cast(kind)
+    rows = counts.select(F.lit("replicate_count").alias("record_kind"), "issue_day", "horizon", F.col("replicate").cast("smallint").alias("replicate_index"), F.col("n").cast("int").alias("replicate_count"), blank("string").alias("cell_id"), blank("double").alias("expected_count"))
+    if cells is None:
+        return rows
+    return rows.unionByName(cells.select(F.lit("expected_cell").alias("record_kind"), "issue_day", "horizon", blank("smallint").alias("replicate_index"), blank("int").alias("replicate_count"), "cell_id", F.col("expected").alias("expected_count")))
+
+
 def horizon_replicate_counts(events: DataFrame, replicates: DataFrame, start: float, horizons: tuple[float, ...]) -> DataFrame:
     """horizon, replicate, n: one simulation serves all horizons; replicates without events count 0."""
     rows = replicates.select("replicate", F.explode(F.array(*[F.lit(float(h)) for h in horizons])).alias("horizon"))

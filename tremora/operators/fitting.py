@@ -168,7 +168,7 @@ def audit(f: Callable, results: list[tuple[np.ndarray, float, bool]], bounds: np
     if len(done) >= 3:
         spread = (done[2][1] - done[0][1]) / max(1.0, abs(done[0][1]))
         reach = float(np.ptp(np.array([r[0] for r in done[:3]]), 0).max())
-        reasons += ["spread"] * (spread > MOST_SPREAD) + ["parameters"] * (reach > MOST_RANGE)
+        reasons += ["spread"] * int(spread > MOST_SPREAD) + ["parameters"] * int(reach > MOST_RANGE)
     else:
         reasons.append("agreement")
     if done:

@@ -378,7 +378,7 @@ def test_similar_lines_share_a_bucket(spark):
         if x and y and a != b and len(x & y) >= 0.8 * len(x | y):
             pairs.append((len(pairs), len(a) < 80, a, b))
     df = spark.createDataFrame(pairs, "pair long, short boolean, a string, b string")
-    sides = [linededup.with_buckets(df.select("pair", "short", F.col(c).alias("line")), 8, 8, 3).select("pair", "short", F.col("buckets").alias(c)) for c in "ab"]
+    sides = [linededup.signed(df.select("pair", "short", F.col(c).alias("line")), 8, 8, 3).groupBy("pair", "short").agg(F.collect_set("bucket").alias(c)) for c in "ab"]
     got = sides[0].join(sides[1], ["pair", "short"]).groupBy("short").agg(F.avg(F.arrays_overlap("a", "b").cast("int")).alias("recall"), F.count("*").alias("n")).collect()
     assert len(got) == 2 and all(x.n > 200 for x in got), got
     assert all(x.recall >= 0.99 for x in got), got

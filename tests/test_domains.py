@@ -108,6 +108,46 @@ def test_reports_in_both_layouts(spark):
     assert {r.file: r.fault for r in faults.collect()} == {"g": "headers", "h": "sheets"}
 
 
+def test_tables_conform_and_leak_nothing(spark):
+    from tremora.operators import filters
+    from tremora.sources import contracts
+
+    found = anomalies.observations(domains.report_rows(spark, "/root/testdata/sf0.001"))
+    table = contracts.conform(anomalies.observation_table(found, "weekly"), "anomaly_observation")
+    assert contracts.null_faults(table, "anomaly_observation").count() == 0 and table.count() == found.count()
+    for rows, name in ((anomalies.period_table(found, "weekly"), "anomaly_report_period"), (anomalies.entity_audit(found), "anomaly_entity_audit")):
+        assert contracts.null_faults(contracts.conform(rows, name), name).count() == 0
+    quake = spark.sql("select timestamp'2024-01-01 00:00:00' as origin_time_utc, timestamp'2024-01-01 00:00:00' as available_at, array('publication_time_assumed_origin_time') as quality_flags")
+    early = spark.sql("select true as historical_model_eligible union all select false")
+    good = filters.leakage(table, [quake], [early.filter("not historical_model_eligible")], [])
+    assert good["anomaly_available_at_rule"] == good["anomaly_occurrence_time_precision"] == good["earthquake_available_at_assumption"] == good["historical_geology_early_use"] == 0
+    bad = filters.leakage(table.withColumn("available_at", F.lit(None).cast("timestamp")), [quake.withColumn("quality_flags", F.array())], [early], [spark.sql("select true as model_feature_eligible")])
+    assert bad["anomaly_available_at_rule"] == table.count() and (bad["earthquake_available_at_assumption"], bad["historical_geology_early_use"], bad["basemap_model_feature_use"]) == (1, 1, 1)
+    days = spark.createDataFrame([(1, True, 4.0, 1.0, 1.0), (2, True, 4.0, 1.0, 9.0), (3, True, 4.0, 0.5, 0.5)], "event_id int, inside_external_buffer boolean, magnitude double, origin_day double, available_day double")
+    assert [r.event_id for r in filters.fit_parents(days, 4.0, 1.0, 5.0).collect()] == [1] and {r.event_id for r in filters.score_parents(days, 4.0, 5.0, 4.5).collect()} == {1, 2}
+
+
+def test_text_sources_are_checked(spark, tmp_path):
+    from tremora.sources import texts
+
+    (tmp_path / "a.gmt").write_text("# first\n> one\n# note\n100 30\n# more\n101 31\n")
+    r = texts.parse_segments(texts.numbered_lines(spark, str(tmp_path / "a.gmt"))).first()
+    assert (r.header, r.comments, r.delimiter_line) == ("one", ["note", "more"], 2)
+    rows = spark.createDataFrame([(2024, 1, 1, 0, 0, 60.0, 100.0, 30.0, 10.0, 4.0, "x"), (2024, 1, 1, 0, 0, 1.0, 200.0, 30.0, 10.0, 4.0, "x"), (2024, 1, 1, 0, 0, 1.0, 100.0, 30.0, None, 4.0, " ")], ", ".join(f"{c} {'string' if c == 'place' else 'double' if c in ('second', 'longitude', 'latitude', 'depth', 'magnitude') else 'int'}" for c in texts.COLUMNS))
+    assert sorted(r.fault for r in texts.column_faults(rows).collect()) == ["coordinates", "missing depth,place"]
+    with pytest.raises(ValueError):
+        texts.column_faults(rows.drop("place"))
+    found = spark.createDataFrame([("v", 7, 0.0), ("v", 7, 7.0), ("v", 7, 7.0), ("v", 7, 13.0)], "partition string, horizon int, issue_day double")
+    faults = texts.calendar_faults(found, [float(x) for x in range(15)], (7,))
+    assert sorted((r.issue_day, r.side) for r in faults.collect()) == [(7.0, "calendar"), (13.0, "calendar"), (14.0, "greedy")]
+    (tmp_path / "b").symlink_to(tmp_path / "a.gmt")
+    assert files.links([str(tmp_path / "a.gmt"), str(tmp_path / "b"), "hdfs://x/y"]) == [str(tmp_path / "b")]
+    recorded = files.inventory(spark, {"a": str(tmp_path / "a.gmt")})
+    assert files.stable(spark, str(tmp_path / "a.gmt"), recorded).count() == 1
+    (tmp_path / "a.gmt").write_text("other")
+    assert files.stable(spark, str(tmp_path / "a.gmt"), spark.createDataFrame([("x", "y")], "path string, sha256 string")).count() == 0
+
+
 # --- horizons, fits and futures ------------------------------------------------------------------------------------
 
 

@@ -52,8 +52,13 @@ def event_status(left: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def events(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Physical events: each merged pair once, by the right source's values, and all events without a merge."""
+    """Physical events: each merged pair once, by the right source's values and with the flags of both, and all events
+    without a merge."""
     kept = accepted(pairs).select(F.col("l_event_id").alias("l"), F.col("r_event_id").alias("event_id"))
     right_rows = right.join(kept, "event_id", "left").withColumn("sources", F.when(F.col("l").isNull(), F.array(F.lit("m5"))).otherwise(F.array(F.lit("m3"), F.lit("m5")))).drop("l")
     left_rows = left.join(kept.select(F.col("l").alias("event_id")), "event_id", "left_anti").withColumn("sources", F.array(F.lit("m3")))
-    return right_rows.unionByName(left_rows)
+    out = right_rows.unionByName(left_rows)
+    if "flags" not in left.columns:
+        return out
+    given = left.select(F.col("event_id").alias("l"), F.col("flags").alias("more")).join(kept, "l").select("event_id", "more")
+    return out.join(given, "event_id", "left").withColumn("flags", F.array_sort(F.array_union("flags", F.coalesce("more", F.array().cast("array<string>"))))).drop("more")

@@ -167,6 +167,18 @@ def anomaly_quality(spark: SparkSession, d: str) -> DataFrame:
     return anomalies.quality(anomalies.observations(report_rows(spark, d))).select("rows", "faults", "files", "stations", "anomalies", "right_censored", "first_report", "last_report", "first_start")
 
 
+@query
+def anomaly_periods(spark: SparkSession, d: str) -> DataFrame:
+    out = anomalies.period_table(anomalies.observations(report_rows(spark, d)), "weekly")
+    return out.select("report_period", "report_date", "row_count", "row_report_date_mismatch_count", "row_report_date_before_count", "row_report_date_after_count", "deformation_row_count", "fluid_row_count", "electromagnetic_row_count", "cross_fault_row_count")
+
+
+@query
+def anomaly_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Anomalies to look at again, by kind."""
+    return anomalies.entity_audit(anomalies.observations(report_rows(spark, d))).groupBy("audit_type").agg(F.count("*").alias("n"))
+
+
 @query
 def anomaly_missing_periods(spark: SparkSession, d: str) -> DataFrame:
     """Periods that are gone when the files of every third are."""
@@ -185,6 +197,8 @@ MARKS = {
     "source_duration_ignored": "i % 6 = 0", "manual_prediction_fields_present": "i % 13 = 0", "manual_prediction_fields_excluded": "true", "anomaly_time_date_only_assumed_fixed_utc_plus_08_midnight": "true",
 }
 ORACLES["anomaly_flags"] = f"WITH {REPORTS} SELECT flag, n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS flag, count(*) FILTER ({c}) AS n FROM a" for k, c in MARKS.items()) + ") WHERE n > 0"
+ORACLES["anomaly_periods"] = f"""WITH {REPORTS} SELECT CAST(period AS INTEGER) AS report_period, report AS report_date, count(*) AS row_count, count(*) FILTER (own <> report) AS row_report_date_mismatch_count, count(*) FILTER (own < report) AS row_report_date_before_count,
+count(*) FILTER (own > report) AS row_report_date_after_count, count(*) FILTER (i % 4 = 0) AS deformation_row_count, count(*) FILTER (i % 4 = 1) AS fluid_row_count, count(*) FILTER (i % 4 = 2) AS electromagnetic_row_count, count(*) FILTER (crossed) AS cross_fault_row_count FROM a GROUP BY 1, 2"""
 ORACLES["anomaly_quality"] = f"""WITH {REPORTS}, placed AS (SELECT *, CASE WHEN i % 7 > 0 THEN concat_ws('|', u % 5, u, u % 30, u % 10) ELSE 'row' || i END AS station, CASE i % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' ELSE 'd' END AS discipline FROM a)
 SELECT count(*) AS rows, CAST(0 AS BIGINT) AS faults, count(DISTINCT period) AS files, count(DISTINCT station) AS stations, count(DISTINCT CASE WHEN i % 7 = 0 OR i % 11 = 0 THEN 'row' || i ELSE concat_ws('|', station, discipline, i % 4, start) END) AS anomalies,
 count(*) FILTER (fin IS NULL OR fin > known) AS right_censored, min(report) AS first_report, max(report) AS last_report, min(start) AS first_start FROM placed"""

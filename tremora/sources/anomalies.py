@@ -60,7 +60,7 @@ def observations(rows: DataFrame) -> DataFrame:
         "longitude": at("经度").try_cast("decimal(10,5)"), "latitude": at("纬度").try_cast("decimal(10,5)"), "measurement": at("分量名"), "instrument_or_method": either("测点编号", "手段"),
         "discipline": F.when(common, at("学科")).otherwise(F.col("sheet")), "observation_period": either(None, "趋势性异常时间"), "trend_time": day(either("趋势性异常时间", None)),
         "anomaly_type": either("异常类型", None), "anomaly_description": either("异常特征描述", "异常特征描述"), "annual_anomaly": either("年度异常", "年度异常"), "r_value": either("R值", "R值"), "r0_value": either("R0值", "R0值"),
-        "term_class": at("中长期_短期"), "end_flag": at("异常是否结束"), "start_date": day(at("异常起始时间")), "reported_end_date": day(at("异常结束时间")), "report_state": at("新增_持续_取消"),
+        "term_class": at("中长期_短期"), "forecast_efficacy": at("预报效能"), "end_flag": at("异常是否结束"), "start_date": day(at("异常起始时间")), "reported_end_date": day(at("异常结束时间")), "report_state": at("新增_持续_取消"),
         "has_duration": at("异常持续时间").isNotNull(), "has_forecast": F.when(common, any_of(FORECAST[True], COMMON)).otherwise(any_of(FORECAST[False], CROSS_FAULT)),
     })
     fault = (
@@ -92,6 +92,43 @@ def observations(rows: DataFrame) -> DataFrame:
     return out.withColumn("anomaly_id", stable_uuid(F.when(resolved, what).otherwise(joined_parts(F.lit("anomaly_provisional"), F.col("observation_id"))))).drop("cells", "has_duration", "has_forecast")
 
 
+def observation_table(found: DataFrame, source_id: str) -> DataFrame:
+    """Good observations with the columns of their contract."""
+    local = lambda c: F.to_timestamp_ntz(F.col(c))
+    return found.filter("fault is null").select(
+        "observation_id", "anomaly_id", "station_id", "report_date", F.col("row_report_date").alias("raw_row_report_date"), "available_at", "unit", "station_name", F.col("longitude").cast("double").alias("longitude"),
+        F.col("latitude").cast("double").alias("latitude"), "discipline", "measurement", "instrument_or_method", "observation_period", "forecast_efficacy", "trend_time", local("start_date").alias("start_time"),
+        local("reported_end_date").alias("reported_end_time"), "end_flag", "report_state", "anomaly_type", "anomaly_description", "annual_anomaly", "r_value", "r0_value", "term_class", F.lit(True).alias("is_listed"), "right_censored",
+        (~F.array_contains("quality_flags", "identity_incomplete")).alias("identity_complete"), F.col("quality_flags").alias("reliability_flags"), F.lit(source_id).alias("source_id"), F.col("file").alias("source_file"),
+        F.col("sha256").alias("source_sha256"), F.col("sheet").alias("source_sheet"), "source_row", F.coalesce("serial", F.lit(0)).alias("source_serial_number"), F.col("report_year").alias("source_period_year"), F.col("report_period").alias("source_period"),
+    )
+
+
+def period_table(found: DataFrame, source_id: str) -> DataFrame:
+    """One row a file, with the columns of its contract: rows in all, by sheet, and by how their dates differ."""
+    named = dict(zip(("deformation", "fluid", "electromagnetic", "cross_fault"), SHEETS, strict=True))
+    out = found.groupBy("file", "sha256", "report_year", "report_period", "report_date").agg(
+        F.max("available_at").alias("available_at"), F.count("*").alias("row_count"), F.count_if(F.col("row_report_date") != F.col("report_date")).alias("row_report_date_mismatch_count"),
+        F.count_if(F.col("row_report_date") < F.col("report_date")).alias("row_report_date_before_count"), F.count_if(F.col("row_report_date") > F.col("report_date")).alias("row_report_date_after_count"),
+        *[F.count_if(F.col("sheet") == s).alias(f"{n}_row_count") for n, s in named.items()],
+    )
+    return out.select(stable_uuid(joined_parts(F.lit("anomaly_report"), F.col("sha256"), F.col("file"))).alias("report_id"), F.lit(source_id).alias("source_id"), F.col("file").alias("source_file"), F.col("sha256").alias("source_sha256"), *[c for c in out.columns if c not in ("file", "sha256")])
+
+
+def entity_audit(found: DataFrame) -> DataFrame:
+    """What a reader should look at, with the columns of its contract: anomalies whose end was changed or taken back
+    from one report to the next, and observations whose entity is not resolved."""
+    w = Window.partitionBy("anomaly_id").orderBy("report_date", "available_at", "observation_id")
+    last = F.last("reported_end_date", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = found.filter("fault is null").withColumns({"__before": F.lag("reported_end_date").over(w), "__last": last})
+    kind = F.when(F.col("__before").isNotNull() & F.col("reported_end_date").isNull(), "end_time_retracted").when(F.col("reported_end_date") != F.col("__last"), "end_time_revised").when(F.array_contains("quality_flags", "entity_unresolved"), "entity_unresolved")
+    local = lambda c: F.to_timestamp_ntz(c)
+    return marked.withColumn("audit_type", kind).filter("audit_type is not null").select(
+        stable_uuid(joined_parts(F.lit("anomaly_audit"), F.col("audit_type"), F.col("observation_id"))).alias("audit_id"), "audit_type", F.lit("unreviewed").alias("status"), F.col("file").alias("source_file"), F.col("sheet").alias("source_sheet"), "report_date",
+        F.array("anomaly_id").alias("anomaly_ids"), F.array("observation_id").alias("observation_ids"), F.col("quality_flags").alias("reliability_flags"), local(F.coalesce("__before", "__last")).alias("previous_reported_end_time"), local(F.col("reported_end_date")).alias("current_reported_end_time"),
+    )
+
+
 def ordered(found: DataFrame) -> DataFrame:
     """The total order of observations: report date, sheet, row, file, id."""
     sheet = F.array_position(F.array(*map(F.lit, SHEETS)), F.col("sheet"))

@@ -40,10 +40,40 @@ def parse_columns(rows: DataFrame) -> DataFrame:
     return rows.withColumn("origin_local", local).withColumn("origin_utc", local_to_utc(F.col("origin_local")))
 
 
+#: The columns of a table of events in eleven columns.
+COLUMNS = ("year", "month", "day", "hour", "minute", "second", "longitude", "latitude", "depth", "magnitude", "place")
+
+
+def column_faults(rows: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """Rows of an extract with a cell that is missing or out of range, with the fault. Raises where the columns are not
+    exactly these, in order."""
+    if tuple(rows.columns) != columns:
+        raise ValueError(f"columns {rows.columns} instead of {columns}")
+    empty = F.array_join(F.filter(F.array(*[F.when(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == ""), F.lit(c)) for c in columns]), lambda x: x.isNotNull()), ",")
+    bad = F.when(empty != "", F.concat(F.lit("missing "), empty)).when((F.abs(F.col("longitude")) > 180) | (F.abs(F.col("latitude")) > 90), "coordinates").when(F.col("second") > 60, "second")
+    return rows.withColumn("fault", bad).filter("fault is not null")
+
+
+def calendar_faults(found: DataFrame, days: list[float], horizons: tuple[int, ...]) -> DataFrame:
+    """Exposures that a calendar (partition, horizon, issue_day) has and the greedy choice from ``days`` has not, or the
+    other way round: partition, horizon, issue_day and side. Repeated rows are faults too."""
+    from tremora.operators.sequences import greedy_exposures
+
+    every = F.array(*[F.lit(float(d)) for d in sorted(days)])
+    plans = F.array(*[F.struct(F.lit(h).alias("horizon"), greedy_exposures(every, float(h)).alias("days")) for h in horizons])
+    wanted = found.select("partition").distinct().withColumn("p", F.explode(plans)).select("partition", "p.horizon", F.explode("p.days").alias("issue_day"))
+    mine = found.select("partition", F.col("horizon").cast("int").alias("horizon"), F.col("issue_day").cast("double").alias("issue_day"))
+    return mine.exceptAll(wanted).withColumn("side", F.lit("calendar")).unionByName(wanted.exceptAll(mine).withColumn("side", F.lit("greedy")))
+
+
 def parse_segments(lines: DataFrame) -> DataFrame:
-    """file, segment, header, point and coordinates of line files: '>' starts a segment, '#' lines are comments."""
-    numbered = segment_ids(lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "")), "number", "value", ["file"])
-    headers = numbered.filter(F.col("value").startswith(">")).select("file", "segment", F.trim(F.substring("value", 2, 1_000_000)).alias("header"))
+    """file, segment, header, comments, point and coordinates of line files: '>' starts a segment, '#' lines are comments
+    of the segment they stand in."""
+    everything = segment_ids(lines.filter(F.trim("value") != ""), "number", "value", ["file"])
+    numbered = everything.filter(~F.col("value").startswith("#"))
+    remark = F.struct("number", F.trim(F.substring("value", 2, 1_000_000)).alias("text"))
+    comments = everything.filter(F.col("value").startswith("#")).groupBy("file", "segment").agg(F.transform(F.array_sort(F.collect_list(remark)), lambda x: x["text"]).alias("comments"))
+    headers = numbered.filter(F.col("value").startswith(">")).select("file", "segment", F.col("number").alias("delimiter_line"), F.trim(F.substring("value", 2, 1_000_000)).alias("header")).join(comments, ["file", "segment"], "left")
     pair = F.split(F.trim("value"), r"[\s,]+")
     points = numbered.filter(~F.col("value").startswith(">")).select("file", "segment", "number", pair[0].try_cast("double").alias("longitude"), F.get(pair, 1).try_cast("double").alias("latitude"), F.size(pair).alias("fields"))
     fault = F.when((F.col("fields") != 2) | F.col("longitude").isNull() | F.col("latitude").isNull(), "numbers").when((F.abs("longitude") > 180) | (F.abs("latitude") > 90), "range")

@@ -62,3 +62,21 @@ def test_background_study(spark):
 
 def test_deferred_commands_say_so(capsys):
     assert cli.main(["train"]) == 2 and "deferred" in capsys.readouterr().out
+
+
+def test_five_snapshots(spark):
+    from tremora.plans import ingest
+    from tremora.sources import publication
+
+    events, first = view.catalog(spark, "/root/testdata/sf0.01"), view.FIRST_DAY
+    five = ingest.snapshots(spark, [(first + 10 + i, first + 10 + i, first + 14 + i) for i in range(4)], first + 20, (first + 21, first + 31))
+    out = background.kde_pipeline(events, five, 6.0, first, (view.STUDY_X, view.STUDY_Y), sizes=(200.0, 100.0), bandwidths=(300.0,))
+    gate = {r.h: (r.passed, r.snapshots) for r in out["gate"].collect()}
+    assert set(gate) == {300.0} and gate[300.0][1] == 5 and (out["chosen"] == 300.0) == gate[300.0][0]
+    assert out["scores"].count() == 5 * sum(passed for passed, _ in gate.values())
+    few = events.filter("magnitude >= 7")
+    tried = background.etas_pipeline(few, five, 7.0, 1.0, first, (view.STUDY_X, view.STUDY_Y), cell_km=200.0, starts=1)
+    assert [t["snapshot"] for t in tried] == list(ingest.SNAPSHOTS) and all(t["status"] == "scored" or t["reasons"] for t in tried)
+    evidence = spark.createDataFrame([(t["model"], t["snapshot"], t["status"]) for t in tried], "model string, snapshot string, status string")
+    assert ingest.unaccounted(evidence, five).count() == 0
+    assert len(publication.registry([{k: t[k] for k in ("model", "snapshot", "status", "reasons", "gain")} for t in tried], ("etas",), ingest.SNAPSHOTS)["entries"]) == 5

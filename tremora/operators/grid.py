@@ -61,13 +61,21 @@ def filled(coarse_cells: DataFrame, fine: DataFrame, value: str, ratio: int = 2)
 
 
 def convergence(coarse: DataFrame, fine: DataFrame, value: str, total_limit: float = 0.02, l1_limit: float = 0.05) -> DataFrame:
-    """relative_total, density_l1 and passed: a coarse field against its finer one, summed to the same parents. Two
-    passes: the totals (one row), then the sum of differences."""
-    both = coarse.select("row", "column", F.col(value).alias("c")).join(coarser(fine, value).withColumnRenamed(value, "f"), ["row", "column"], "full")
-    both = both.select(F.coalesce("c", F.lit(0.0)).alias("c"), F.coalesce("f", F.lit(0.0)).alias("f"))
-    totals = both.agg(F.sum("c").alias("tc"), F.sum("f").alias("tf"))
-    out = both.crossJoin(F.broadcast(totals)).agg(F.first("tc").alias("tc"), F.first("tf").alias("tf"), F.sum(F.abs(F.col("c") / F.col("tc") - F.col("f") / F.col("tf"))).alias("density_l1"))
-    out = out.select((F.abs(F.col("tc") - F.col("tf")) / F.greatest(F.abs("tf"), F.lit(1e-12))).alias("relative_total"), "density_l1")
+    """relative_total, density_l1 and passed: a coarse field against its finer one, summed to the same parents."""
+    return convergence_by(coarse.withColumn("__all", F.lit(0)), fine.withColumn("__all", F.lit(0)), value, ["__all"], total_limit, l1_limit).drop("__all")
+
+
+def convergence_by(coarse: DataFrame, fine: DataFrame, value: str, by: list[str], total_limit: float = 0.02, l1_limit: float = 0.05) -> DataFrame:
+    """The same for each group of fields. Two passes: the totals (a row a group), then the sum of differences. A field
+    without anything on either grid converges."""
+    parent = lambda c: F.floor(F.col(c) / 2).cast("int").alias(c)
+    summed = fine.select(*by, parent("row"), parent("column"), value).groupBy(*by, "row", "column").agg(F.sum(value).alias("f"))
+    both = coarse.select(*by, "row", "column", F.col(value).alias("c")).join(summed, [*by, "row", "column"], "full")
+    both = both.select(*by, F.coalesce("c", F.lit(0.0)).alias("c"), F.coalesce("f", F.lit(0.0)).alias("f"))
+    totals = both.groupBy(*by).agg(F.sum("c").alias("tc"), F.sum("f").alias("tf"))
+    share = lambda x, t: F.when(F.col(t) > 0, F.col(x) / F.col(t)).otherwise(0.0)
+    out = both.join(totals, by).groupBy(*by).agg(F.first("tc").alias("tc"), F.first("tf").alias("tf"), F.sum(F.abs(share("c", "tc") - share("f", "tf"))).alias("density_l1"))
+    out = out.select(*by, (F.abs(F.col("tc") - F.col("tf")) / F.greatest(F.abs("tf"), F.lit(1e-12))).alias("relative_total"), "density_l1")
     return out.withColumn("passed", (F.col("relative_total") <= total_limit) & (F.col("density_l1") <= l1_limit))
 
 

@@ -193,22 +193,63 @@ def expected_cells(events: DataFrame, replicates: int, by: list[str]) -> DataFra
     return events.groupBy(*by).agg((F.count("*") / F.lit(float(replicates))).alias("expected"))
 
 
-def analytic_regression(spark: SparkSession, replicates: int = 8192, blocks: int = 64, s: Spec = Spec(mc=3.0, most=7.0, beta=2.0), w: Parameters = Parameters(), root: float = 4.0) -> DataFrame:
-    """replicate and descendants of a single root event, bred to extinction; its moments are known in closed form."""
+#: What the branching process of the regression gives in closed form, and how far it may be off.
+ANALYTIC = {
+    "generic_branching_ratio": 0.3928055160151634, "root_direct_offspring_mean": 0.5436563656918091, "root_total_descendants_mean": 0.8953578796104242,
+    "root_total_descendants_variance": 2.8311915410643453, "root_zero_descendant_probability": 0.580621402297363,
+}
+MEAN_OFF, VARIANCE_OFF, ZERO_OFF, MOST_KS, LEAST_POOLED = 0.08, 0.25, 0.03, 0.035, 3500
+
+
+def poisson_pit(n: int, mean: float, u: float) -> float:
+    """A uniform number if n is a draw from the Poisson law: between the law's values below and at n."""
+    below, at = 0.0, np.exp(-mean)
+    for i in range(n):
+        below, at = below + at, at * mean / (i + 1)
+    return float(below + u * at)
+
+
+def analytic_regression(spark: SparkSession, replicates: int = 8192, blocks: int = 64, s: Spec = Spec(mc=3.0, most=7.0, beta=2.0), w: Parameters = Parameters(), root: float = 4.0, cap: int = 100_000) -> DataFrame:
+    """replicate, descendants, direct, capped and pits of a single root event, bred to extinction: its moments are known
+    in closed form, and each parent's number of children gives one uniform number."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for i in pdf["id"]:
-            g, waiting, n, direct = generator("tremora", "simulation_regression", replicate=int(i)), [root], 0, None
-            while waiting:
-                children = g.poisson(w.k * np.exp(w.alpha * (waiting.pop() - s.mc)))
+            g, waiting, n, direct, pits, capped = generator("tremora", "simulation_regression", replicate=int(i)), [root], 0, None, [], False
+            while waiting and not capped:
+                mean = w.k * np.exp(w.alpha * (waiting.pop() - s.mc))
+                children = int(g.poisson(mean))
+                pits.append(poisson_pit(children, mean, g.random()))
                 direct = children if direct is None else direct
-                n += children
+                n, capped = n + children, n + children > cap
                 waiting += [gr_magnitude(g, s.mc, s.most, s.beta) for _ in range(children)]
-            out.append((int(i), n, direct))
-        return pd.DataFrame(out, columns=["replicate", "descendants", "direct"])
-
-    return spark.range(replicates, numPartitions=blocks).mapInPandas(lambda it: (run(x) for x in it), "replicate long, descendants long, direct long")
+            out.append((int(i), n, direct, capped, pits))
+        return pd.DataFrame(out, columns=["replicate", "descendants", "direct", "capped", "pits"])
+
+    return spark.range(replicates, numPartitions=blocks).mapInPandas(lambda it: (run(x) for x in it), "replicate long, descendants long, direct long, capped boolean, pits array<double>")
+
+
+def analytic_checks(trees: DataFrame, s: Spec = Spec(mc=3.0, most=7.0, beta=2.0), w: Parameters = Parameters()) -> DataFrame:
+    """name, value and passed of the nine checks of the branching process against its closed form."""
+    from pyspark.sql import Window
+
+    from tremora.functions import kernels
+
+    pits = trees.filter("not capped").select(F.explode("pits").alias("pit"))
+    place, n = F.row_number().over(Window.orderBy("pit")), F.count("*").over(Window.partitionBy(F.lit(0)))  # thousands of numbers
+    ks = pits.select("pit", place.alias("place"), n.alias("n")).agg(F.max(F.greatest(F.col("place") / F.col("n") - F.col("pit"), F.col("pit") - (F.col("place") - 1) / F.col("n"))).alias("ks"), F.count("*").alias("pooled"))
+    d = F.when(~F.col("capped"), F.col("descendants"))
+    whole = trees.agg(F.avg(F.when(~F.col("capped"), F.col("direct"))).alias("direct"), F.avg(d).alias("mean"), F.var_samp(d).alias("variance"), F.avg((d == 0).cast("double")).alias("zero"), F.count_if("capped").alias("caps"), F.count_if(~F.col("capped") & F.col("descendants").isNull()).alias("nonfinite")).crossJoin(ks)
+    ratio = kernels.branching_ratio(w.k, F.lit(w.alpha), s.beta, s.most - s.mc)
+    near = lambda c, name, off, relative=False: F.abs(F.col(c) - ANALYTIC[name]) / (ANALYTIC[name] if relative else 1.0) <= off
+    checks = [
+        ("generic_branching_ratio", ratio, F.abs(ratio - ANALYTIC["generic_branching_ratio"]) <= 5e-12), ("root_direct_offspring_mean", F.col("direct"), near("direct", "root_direct_offspring_mean", MEAN_OFF)),
+        ("root_total_descendants_mean", F.col("mean"), near("mean", "root_total_descendants_mean", MEAN_OFF)), ("root_total_descendants_variance", F.col("variance"), near("variance", "root_total_descendants_variance", VARIANCE_OFF, True)),
+        ("root_zero_descendant_probability", F.col("zero"), near("zero", "root_zero_descendant_probability", ZERO_OFF)), ("direct_offspring_pit_ks", F.col("ks"), F.col("ks") <= MOST_KS),
+        ("minimum_pooled_direct_offspring", F.col("pooled"), F.col("pooled") >= LEAST_POOLED), ("event_cap_hits", F.col("caps"), F.col("caps") == 0), ("nonfinite_values", F.col("nonfinite"), F.col("nonfinite") == 0),
+    ]
+    return whole.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("value"), F.coalesce(p, F.lit(False)).alias("passed")) for n, v, p in checks])).alias("x")).select("x.*")
 
 
 def bootstrap_gains(contributions: DataFrame, replicates: int = 2000, blocks: int = 32, most: int = 1_000_000) -> DataFrame:

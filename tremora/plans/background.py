@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremora.operators import completeness, etas, evaluation, filters, fitting, grid, poisson
+from tremora.plans import ingest
 
 
 @dataclass(frozen=True)
@@ -93,3 +94,58 @@ def run(catalog: DataFrame, study: Study) -> Outcome:
     picked = evaluation.select_model(by_fold.unionByName(uniform), final.unionByName(zero)).filter("chosen").collect()
     out.chosen = picked[0].model if picked else None
     return out
+
+
+def kde_pipeline(catalog: DataFrame, snapshots: DataFrame, mc: float, start: float, half: tuple[float, float], sizes: tuple[float, ...] = (50.0, 25.0, 12.5), bandwidths: tuple[float, ...] = poisson.BANDWIDTHS) -> dict:
+    """Every bandwidth at every snapshot (snapshot, fit_end, start, end, is_validation): fit, gate on three grids, score.
+    A bandwidth is scored only if it passes in all snapshots; the choice is made on the folds alone.
+
+    Returns gate and scores as tables, and the chosen bandwidth or None."""
+    area = 4 * half[0] * half[1]
+    gates = scores = None
+    rows = snapshots.orderBy("fit_end", "snapshot").collect()  # five of them
+    norms = {}
+    for s in rows:
+        training = filters.training(catalog, mc, start, s.fit_end)
+        masses = {size: poisson.kde_cell_masses(training, grid.cell_array(grid.cell_values(size, *half)), bandwidths).select("h", "row", "column", "raw", "normaliser") for size in sizes}
+        norms[s.snapshot] = masses[min(sizes)].groupBy("h").agg(F.first("normaliser").alias("normaliser"))
+        for a, b in zip(sizes, sizes[1:], strict=False):
+            one = grid.convergence_by(masses[a], masses[b], "raw", ["h"]).select(F.lit(s.snapshot).alias("snapshot"), "h", F.coalesce("passed", F.lit(False)).alias("passed"), F.lit(f"{a:g} to {b:g} km").alias("reason"))
+            gates = one if gates is None else gates.unionByName(one)
+    evidence = gates.groupBy("snapshot", "h").agg(F.bool_and("passed").alias("passed"), F.array_join(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("reason")))), ", ").alias("reason"))
+    gate = ingest.global_gate(evidence).cache()
+    passed = gate.filter("passed").select("h")
+    for s in rows:
+        training = filters.training(catalog, mc, start, s.fit_end)
+        targets = filters.targets(catalog, mc, s.start, s.end)
+        logs = poisson.kde_log_densities(targets, training, norms[s.snapshot], bandwidths).join(F.broadcast(passed), "h")  # a few bandwidths
+        one = logs.groupBy("h").agg(F.count("*").alias("n"), (F.avg("log_density") + F.log(F.lit(area))).alias("gain")).withColumns({"snapshot": F.lit(s.snapshot), "is_validation": F.lit(s.is_validation)})
+        scores = one if scores is None else scores.unionByName(one)
+    scores = scores.cache()
+    chosen = poisson.select_bandwidth(scores.filter("not is_validation").select("h", F.col("snapshot").alias("fold"), F.col("gain").alias("score"))).filter("selected").collect()
+    return {"gate": gate, "scores": scores, "chosen": chosen[0].h if chosen else None}
+
+
+def etas_pipeline(catalog: DataFrame, snapshots: DataFrame, mc: float, b: float, start: float, half: tuple[float, float], cell_km: float = 100.0, starts: int = 5) -> list[dict]:
+    """An attempt at every snapshot, in order. One that fails is recorded with its reasons and does not stop the others:
+    model, snapshot, status, reasons, gain (the log-likelihood of a stable fit an event) and the parameters."""
+    spark, area, out = catalog.sparkSession, 4 * half[0] * half[1], []
+    cells = grid.cells(spark, cell_km, *half)
+    for s in snapshots.orderBy("fit_end", "snapshot").collect():
+        spec = etas.Spec.from_b(b, mc=mc, lag=s.fit_end - start)
+        entry = {"model": "etas", "snapshot": s.snapshot, "status": "failed", "gain": None, "parameters": None}
+        try:
+            targets = filters.targets(catalog, mc, start, s.fit_end)
+            found = fitting.fit(fitting.prepare(targets, filters.fit_parents(catalog, mc, start, s.fit_end), cells, spec, start, s.fit_end, area), spec, model=s.model, starts=starts)
+        except (ValueError, ArithmeticError) as failure:
+            out.append(entry | {"reasons": [str(failure)]})
+            continue
+        if not found.stable:
+            out.append(entry | {"reasons": list(found.audit.reasons)})
+            continue
+        scored = filters.targets(catalog, mc, s.start, s.end)
+        parents = filters.score_parents(catalog, mc, s.end, spec.lag)
+        likelihood = etas.log_likelihood(scored, parents, cells, spec, found.parameters, s.start, s.end, area).first()
+        gain = float(likelihood.log_likelihood) / likelihood.n if likelihood.n else 0.0
+        out.append(entry | {"status": "scored", "reasons": [], "gain": gain, "parameters": found.parameters})
+    return out

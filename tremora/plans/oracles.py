@@ -233,3 +233,4 @@ CASE WHEN event_id % 4 = 0 THEN 'availability_optimistic,negative_depth' ELSE 'a
 ORACLES["best_three"] = "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS INTEGER) AS place FROM events QUALIFY place <= 3"
 ORACLES["regression_statistics"] = """SELECT event_type, round(avg(value), 6) AS mean, round(var_samp(value), 4) AS variance, round(max(greatest(place / CAST(n AS DOUBLE) - pit, pit - (place - 1) / CAST(n AS DOUBLE))), 9) AS ks FROM (
   SELECT event_type, value, 1 - exp(-value / 50.0) AS pit, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS place FROM events) GROUP BY 1"""
+ORACLES["analytic_regression"] = "SELECT name, true AS passed FROM (VALUES " + ", ".join(f"('{n}')" for n in ("generic_branching_ratio", "root_direct_offspring_mean", "root_total_descendants_mean", "root_total_descendants_variance", "root_zero_descendant_probability", "direct_offspring_pit_ks", "minimum_pooled_direct_offspring", "event_cap_hits", "nonfinite_values")) + ") AS v(name)"

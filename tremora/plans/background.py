@@ -98,7 +98,8 @@ def run(catalog: DataFrame, study: Study) -> Outcome:
 
 def kde_pipeline(catalog: DataFrame, snapshots: DataFrame, mc: float, start: float, half: tuple[float, float], sizes: tuple[float, ...] = (50.0, 25.0, 12.5), bandwidths: tuple[float, ...] = poisson.BANDWIDTHS) -> dict:
     """Every bandwidth at every snapshot (snapshot, fit_end, start, end, is_validation): fit, gate on three grids, score.
-    A bandwidth is scored only if it passes in all snapshots; the choice is made on the folds alone.
+    A bandwidth is scored only if it passes in all snapshots, and has no gain where a snapshot has no event; the choice
+    is made on the folds alone.
 
     Returns gate and scores as tables, and the chosen bandwidth or None."""
     area = 4 * half[0] * half[1]
@@ -119,7 +120,8 @@ def kde_pipeline(catalog: DataFrame, snapshots: DataFrame, mc: float, start: flo
         training = filters.training(catalog, mc, start, s.fit_end)
         targets = filters.targets(catalog, mc, s.start, s.end)
         logs = poisson.kde_log_densities(targets, training, norms[s.snapshot], bandwidths).join(F.broadcast(passed), "h")  # a few bandwidths
-        one = logs.groupBy("h").agg(F.count("*").alias("n"), (F.avg("log_density") + F.log(F.lit(area))).alias("gain")).withColumns({"snapshot": F.lit(s.snapshot), "is_validation": F.lit(s.is_validation)})
+        one = logs.groupBy("h").agg(F.count("*").alias("n"), (F.avg("log_density") + F.log(F.lit(area))).alias("gain"))
+        one = passed.join(one, "h", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "snapshot": F.lit(s.snapshot), "is_validation": F.lit(s.is_validation)})
         scores = one if scores is None else scores.unionByName(one)
     scores = scores.cache()
     chosen = poisson.select_bandwidth(scores.filter("not is_validation").select("h", F.col("snapshot").alias("fold"), F.col("gain").alias("score"))).filter("selected").collect()

@@ -80,6 +80,22 @@ def test_dedup_is_mutual_and_not_transitive(spark):
     assert "NestedLoop" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_candidates_equal_all_pairs_and_are_not_broadcast(spark):
+    """The exploded side is many times what Spark takes it for, so it must not go through the driver."""
+    from tremora.plans.catalogue import QUERIES
+
+    g = np.random.default_rng(5)
+    step = lambda: float(g.integers(-6, 7))  # noqa: E731  many pairs exactly on a limit
+    rows = [(i, step() / 48, 4.0 + step() / 4 + float(g.choice([0.0, 4e-7])), step() * 10 - 3, step() * 10 - 7, "m3" if i % 2 else "m5") for i in range(500)]
+    df = spark.createDataFrame(rows, "event_id long, origin_day double, magnitude double, x_km double, y_km double, source string")
+    pairs = dedup.candidates(df.filter("source = 'm3'"), df.filter("source = 'm5'"), review=(1800.0, 20.0, 0.5))
+    near = lambda a, b: abs(a[1] - b[1]) <= 1800 / 86400 and math.hypot(a[3] - b[3], a[4] - b[4]) <= 20 and round(abs(a[2] - b[2]), 6) <= 0.5
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[5] == "m3" and b[5] == "m5" and near(a, b))
+    assert sorted((r.l_event_id, r.r_event_id) for r in pairs.collect()) == want and len(want) > 200
+    read = QUERIES["dedup_candidates"](spark, "/root/testdata/sf0.01")
+    assert "Broadcast" not in read._jdf.queryExecution().executedPlan().toString()
+
+
 def test_radius_join_equals_all_pairs(spark):
     g = np.random.default_rng(3)
     rows = [(i, float(g.uniform(0, 30)), float(g.uniform(0, 30)), float(g.uniform(-900, 900)), float(g.uniform(-900, 900)), 4.0) for i in range(150)]

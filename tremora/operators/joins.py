@@ -52,19 +52,19 @@ def near_cells(points: DataFrame, cells: DataFrame, radius: float) -> DataFrame:
 
 def band_place_join(left: DataFrame, right: DataFrame, days: float, km: float, dm: float, residual: Column) -> DataFrame:
     """As band_join on origin_day, but both sides also meet on equal squares of ``km`` and steps of ``dm`` in
-    magnitude: a swarm within one time bucket is many keys."""
-    def keys(p: str, around: bool) -> list[Column]:
-        step = lambda c, w: F.floor(F.round(F.col(p + c) / w, 9)).cast("long")
-        own = [step("origin_day", days), step("x_km", km), step("y_km", km), step("magnitude", dm)]
-        return [F.explode(F.array(*[c + i for i in (-1, 0, 1)])) if around else c for c in own]
+    magnitude: a swarm within one time bucket is many keys.
 
-    names = ["kt", "kx", "ky", "km"]
+    Steps are twice the limits wide, so a right row goes to two of each kind, 16 in all. Spark's estimate of that side
+    leaves the copies out, so without the hint it might be sent to the driver to be broadcast."""
+    kinds = [("kt", "origin_day", days), ("kx", "x_km", km), ("ky", "y_km", km), ("km", "magnitude", dm)]
+    step = lambda c, w, reach: F.floor(F.col(c) / (2 * w) + F.lit(reach)).cast("long")
+    more = 0.5 + 1e-5  # residuals compare rounded differences: these may pass the limit a little
     l, r = with_prefix(left, "l_"), with_prefix(right, "r_")  # noqa: E741
-    for name, key in zip(names, keys("l_", False), strict=True):
-        l = l.withColumn(name, key)  # noqa: E741
-    for name, key in zip(names, keys("r_", True), strict=True):
-        r = r.withColumn(name, key)
-    return l.join(r, names).filter((F.abs(F.col("l_origin_day") - F.col("r_origin_day")) <= days) & residual).drop(*names)
+    for name, c, w in kinds:
+        l = l.withColumn(name, step(f"l_{c}", w, 0.0))  # noqa: E741
+        r = r.withColumn(name, F.explode(F.sequence(step(f"r_{c}", w, -more), step(f"r_{c}", w, more))))
+    names = [name for name, _, _ in kinds]
+    return l.join(r.hint("merge"), names).filter((F.abs(F.col("l_origin_day") - F.col("r_origin_day")) <= days) & residual).drop(*names)
 
 
 def mutual_degree_one(pairs: DataFrame, left: str, right: str) -> DataFrame:

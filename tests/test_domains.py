@@ -289,3 +289,11 @@ def test_snapshots_gates_and_orders(spark):
     assert {(r.event_id, r.only) for r in ingest.targets_missing(mine, parents, 0.0, 9.0).collect()} == {(1, "target"), (3, "parent")}
     plan = ingest.stage_two({"seal": "s"}, five, (75.0,), (50.0, 25.0), 128)
     assert len(plan["units"]) == 5 * 2 + 5 + 1
+
+
+def test_flags_are_worked_out_once(spark):
+    """Counting flags plans no filter that works them out before they are, and normalises the cells in one place."""
+    from tremora.plans.domains import anomaly_flags
+
+    plan = anomaly_flags(spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter (size(" not in plan and plan.count("regexp_replace(lambda") == 1

@@ -48,7 +48,9 @@ def observations(rows: DataFrame) -> DataFrame:
 
     The two layouts hold the same things in different places; the cross-fault sheet's trend column is a period and no
     date. Forecasts that people made are not read but for whether there are any."""
-    cell = lambda i: F.nullif(F.trim(F.regexp_replace(F.get("cells", F.lit(i)), r"\s+", " ")), F.lit(""))
+    plain = F.transform("cells", lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    rows = rows.withColumn("cells", F.transform(plain, lambda x: F.when(x != "", x)))  # once a row: as an expression of each use, the code is too long to be compiled
+    cell = lambda i: F.get("cells", F.lit(i))
     common = F.col("sheet") != SHEETS[3]
     either = lambda a, b: F.when(common, cell(COMMON.index(a)) if a else F.lit(None)).otherwise(cell(CROSS_FAULT.index(b)) if b else F.lit(None))
     at = lambda name: cell(COMMON.index(name))  # noqa: E731  the same place in both

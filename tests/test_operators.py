@@ -254,3 +254,9 @@ def test_two_tiers_and_strict_keys(spark):
     assert {(r.k, r.side) for r in joins.key_difference(a, b, ["k"]).collect()} == {(2, "left"), (3, "right")}
     assert joins.strict_join(a, b, ["k"], {"l": "r"}).first().fault is None
 
+
+def test_catalog_lines_keep_their_time_where_the_place_is_out_of_range(spark):
+    lines = ["20240102 030405.50 30 1499 4.0 10 000 far", "20240102 030405.50 30 100 -1 10 000 small", "20240102 250000 30 1499 4.0 10 000 late", "20240102 030405.50 30 100 4.0 10 000 good"]
+    got = [(r.fault, r.origin_local) for r in texts.parse_catalog(spark.createDataFrame(list(enumerate(lines)), "source_row int, value string")).orderBy("source_row").collect()]
+    at = dt.datetime(2024, 1, 2, 3, 4, 5, 500_000)
+    assert got == [("coordinates", at), ("magnitude", at), ("time", None), (None, at)]

@@ -20,8 +20,8 @@ def numbered_lines(spark: SparkSession, path: str, charset: str = "UTF-8") -> Da
 
 
 def parse_catalog(lines: DataFrame) -> DataFrame:
-    """source_row and value to typed columns. Lines out of layout or range get a fault; a negative depth is null and
-    flagged, like a fixed mark other than 000."""
+    """source_row and value to typed columns. Lines out of layout or range get a fault, and keep the time if
+    that is valid; a negative depth is null and flagged, like a fixed mark other than 000."""
     part = lambda i: F.regexp_extract("value", LINE, i)
     number = lambda i: part(i).try_cast("double")
     rows = lines.select("source_row", "value", number(3).alias("latitude"), number(4).alias("longitude"), number(5).alias("magnitude"), number(6).alias("depth"), part(7).alias("fixed"), F.nullif(part(8), F.lit("")).alias("place"), part(1).alias("date"), part(2).alias("time"))
@@ -29,7 +29,7 @@ def parse_catalog(lines: DataFrame) -> DataFrame:
     second = F.substring("time", 5, 20).try_cast("decimal(8,6)")
     valid = (F.col("date") != "") & piece("date", 5, 2).between(1, 12) & piece("date", 7, 2).between(1, 31) & (piece("time", 1, 2) < 24) & (piece("time", 3, 2) < 60) & (second < 60)
     fault = F.when(F.col("date") == "", "layout").when(~valid, "time").when(~F.coalesce(F.abs("latitude") <= 90, F.lit(False)) | ~F.coalesce(F.abs("longitude") <= 180, F.lit(False)), "coordinates").when(~F.coalesce(F.col("magnitude") >= 0, F.lit(False)), "magnitude")
-    local = F.when(fault.isNull(), fixed_offset_local(piece("date", 1, 4), piece("date", 5, 2), piece("date", 7, 2), piece("time", 1, 2), piece("time", 3, 2), second))
+    local = F.when(valid, fixed_offset_local(piece("date", 1, 4), piece("date", 5, 2), piece("date", 7, 2), piece("time", 1, 2), piece("time", 3, 2), second))
     out = rows.withColumns({"fault": fault, "origin_local": local, "depth_km": F.when(F.col("depth") >= 0, F.col("depth"))})
     return out.withColumns({"origin_utc": local_to_utc(F.col("origin_local")), "flags": flags(negative_depth=F.col("depth") < 0, fixed_mark=F.col("fixed") != "000", availability_optimistic=F.lit(True))}).drop("date", "time", "depth", "value")
 

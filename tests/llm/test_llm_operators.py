@@ -384,6 +384,21 @@ def test_similar_lines_share_a_bucket(spark):
     assert all(x.recall >= 0.99 for x in got), got
 
 
+def test_every_position_of_a_line_is_signed(spark):
+    """Pairs of lines that share one long word and none of 39 short ones: the shingles after their spaces are mostly
+    different, those of the whole lines mostly equal."""
+    r = np.random.default_rng(11)
+    letters = list("abcdefghijklmnoprstuvwz")
+    long_ = ["".join(r.choice(letters, 900)) for _ in range(60)]
+    lines = [[x + " " + " ".join("".join(r.choice(letters, 2)) for _ in range(39)) for _ in "ab"] for x in long_]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(lines)], "pair long, a string, b string")
+    for a, b in lines:
+        x, y = ({t[j : j + 8] for j in range(len(t) - 7)} for t in (a, b))
+        assert len(x & y) >= 0.75 * len(x | y)
+    sides = [linededup.signed(df.select("pair", F.col(c).alias("line")), 8, 8, 3).groupBy("pair").agg(F.collect_set("bucket").alias(c)) for c in "ab"]
+    assert sides[0].join(sides[1], "pair").filter(F.arrays_overlap("a", "b")).count() >= 57
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}

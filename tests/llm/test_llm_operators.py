@@ -385,12 +385,12 @@ def test_similar_lines_share_a_bucket(spark):
 
 
 def test_every_position_of_a_line_is_signed(spark):
-    """Pairs of lines that share one long word and none of 39 short ones: the shingles after their spaces are mostly
+    """Pairs of lines that share one long word and none of 59 short ones: the shingles after their spaces are mostly
     different, those of the whole lines mostly equal."""
     r = np.random.default_rng(11)
     letters = list("abcdefghijklmnoprstuvwz")
-    long_ = ["".join(r.choice(letters, 900)) for _ in range(60)]
-    lines = [[x + " " + " ".join("".join(r.choice(letters, 2)) for _ in range(39)) for _ in "ab"] for x in long_]
+    long_ = ["".join(r.choice(letters, 1600)) for _ in range(60)]
+    lines = [[x + " " + " ".join("".join(r.choice(letters, 2)) for _ in range(59)) for _ in "ab"] for x in long_]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(lines)], "pair long, a string, b string")
     for a, b in lines:
         x, y = ({t[j : j + 8] for j in range(len(t) - 7)} for t in (a, b))
